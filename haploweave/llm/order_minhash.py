@@ -66,7 +66,8 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.when(two, F.xxhash64(mer(F.least(place(i), place(i + 1))), mer(F.greatest(place(i), place(i + 1))))).otherwise(F.xxhash64(mer(place(i)), F.lit(-1)))
 
     df = df.withColumn(t("sig"), F.map_from_arrays(F.transform(t("slots"), lambda i: F.shiftright(pick(i), bits).cast("int")), F.transform(t("slots"), lambda i: F.lpad(F.hex(pair(i).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))
-    df = df.withColumn(out, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda b: F.coalesce(F.try_element_at(F.col(t("sig")), b), F.lit("--------"))), ""))
+    # Two references keep the optimiser from moving the map into the lambda, where it would be built once a slot.
+    df = df.withColumn(out, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda b: F.coalesce(F.try_element_at(F.col(t("sig")), b), F.when(F.size(t("sig")) >= 0, "--------"))), ""))
     return df.drop(*[t(x) for x in ("tok", "mer", "sorted", "runs", "order", "slots", "sig")])
 
 

@@ -1,11 +1,12 @@
 """Toxicity: a counterfactual-regularised logistic classifier.
 
 Features are the presence of words (runs of letters, lower-cased). Training
-minimises the class-balanced logistic loss plus ``penalty`` times the squared
+minimises the logistic loss plus ``penalty`` times the squared
 change of the logit between a labelled text and its counterfactual, the text
-with every identity term swapped for another of its group. A first pass with an
+with every identity term swapped for another of its group. A first, class-balanced pass with an
 L1 term chooses the words, a second with a small L2 term fits their weights, both
-with the counterfactual penalty; identity terms always stay in the model, so that
+with the counterfactual penalty and weights of 0 or more, so that no ordinary word
+makes up for an insult; identity terms always stay in the model, so that
 the penalty, not their absence, keeps mentions neutral.
 
 The classifier is fitted on the driver from a bounded sample (``max_rows`` of
@@ -65,14 +66,14 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _solve(rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, l1: float, l2: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+def _solve(rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, l1: float, l2: float, penalty: float, steps: int, balanced: bool) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient for the loss above; the step follows a bound of the curvature found by power iteration."""
     at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     c_at = np.concatenate([x for p in pairs for x in p] or [np.zeros(0, np.int64)]).astype(np.int64)
     c_of = np.repeat(np.repeat(np.arange(len(pairs)), 2), [len(x) for p in pairs for x in p])
     c_sign = np.repeat(np.tile([1.0, -1.0], len(pairs)), [len(x) for p in pairs for x in p])
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) if balanced else np.full(len(y), 1 / len(y))
     many = max(len(pairs), 1)
 
     def dot(w: np.ndarray) -> np.ndarray:
@@ -100,12 +101,12 @@ def _solve(rows: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], y
             g = g + 2 * penalty / many * np.bincount(c_at, gap(u)[c_of] * c_sign, size)
         w0, bias0, t = w, bias, t2
         w = u - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.maximum(w - step * l1, 0)
         bias = ub - step * r.sum()
     return w, bias
 
 
-def train(texts: list[str], y: list[int], *, penalty: float = 10.0, min_docs: int = 5, l1: float = 0.004, l2: float = 1e-5, steps: int = 150) -> Classifier:
+def train(texts: list[str], y: list[int], *, penalty: float = 10.0, min_docs: int = 5, l1: float = 0.03, l2: float = 1e-5, steps: int = 150) -> Classifier:
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
@@ -119,7 +120,7 @@ def train(texts: list[str], y: list[int], *, penalty: float = 10.0, min_docs: in
         ids = lambda bag: np.fromiter((index[w] for w in bag if w in index), np.int64)
         rows = [ids(b) for b in bags]
         pairs = [(r, ids(counterfactual(b))) for b, r in zip(bags, rows) if b & SWAP.keys()]
-        w, bias = _solve(rows, pairs, y, len(vocab), l1 * (stage == 0), l2, penalty, steps)
+        w, bias = _solve(rows, pairs, y, len(vocab), l1 * (stage == 0), l2, penalty, steps if stage == 0 else 4 * steps, stage == 0)
         vocab = [x for x, v in zip(vocab, w) if v or x in SWAP]
         if stage == 0:
             continue
