@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import release, written
 from .textblock import blocks, mix, shingles, words
 
 #: Hash buckets of the shingle counts, and slices in which they are summed.
@@ -111,87 +111,88 @@ def features(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of ids, with the digests sa and sb of their sets, whose sets link: (u, v).
+    """The pairs (a, b) of ids whose sets link: (u, v).
 
     Each text is sent once for every block of up to FAN pairs that share it as their first document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = written(pairs, "pairs")
     fans = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans")), "fans")
-    chunked = pairs.join(fans, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "fans")).drop("fans")
-    chunked = written(chunked, "pairs")
-    needs = chunked.select(F.col("a").alias("id"), F.col("sa").alias("s"), "a", "chunk").distinct().unionByName(chunked.select(F.col("b").alias("id"), F.col("sb").alias("s"), "a", "chunk"))
+    chunked = written(pairs.join(fans, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "fans")).drop("fans"), "pairs")
+    needs = chunked.select(F.col("a").alias("id"), "a", "chunk").distinct().unionByName(chunked.select(F.col("b").alias("id"), "a", "chunk"))
     # Texts that no pair needs are left out of the shuffle: a table of at most 2^19 hash values tells most of them.
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 19)).cast("int")
     wanted = needs.select(slot("id").alias("slot")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").withColumn("slot", slot("id")).join(F.broadcast(wanted), "slot", "left_semi").drop("slot")
 
     def check(table: pa.Table) -> pa.Table:
-        sets: dict = {}
-        u, v = [], []
-        ids, digests, hub = table.column("id").to_pylist(), table.column("s").to_pylist(), table.column("a")[0].as_py()
-        for i, s, x in zip(ids, digests, _sets(table.column("text"), k)):
-            if _digest(x)[0] == s:
-                sets[i, s] = x
-        first = [x for (i, _), x in sets.items() if i == hub]
-        for (i, _), y in sets.items():
+        ids, hub = table.column("id").to_pylist(), table.column("a")[0].as_py()
+        sets = [(i, x) for i, x in zip(ids, _sets(table.column("text"), k)) if len(x)]
+        first = [x for i, x in sets if i == hub]
+        found = set()
+        for i, y in sets:
             for x in first:
-                if i != hub:
+                if i != hub and i not in found:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
-                        u.append(hub), v.append(i)
-                        break
-        return pa.table({"u": pa.array(u, table.schema.field("id").type), "v": pa.array(v, table.schema.field("id").type)})
+                        found.add(i)
+        kind_of = table.schema.field("id").type
+        return pa.table({"u": pa.array([hub] * len(found), kind_of), "v": pa.array(sorted(found), kind_of)})
 
     return needs.join(texts, "id").groupBy("a", "chunk").applyInArrow(check, f"u {kind}, v {kind}")
 
 
 def join(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_class (rows of an equal set)."""
-    rows = written(features(docs, k=k, percent=percent), "features")
+    spark = docs.sparkSession
+    rows = written(features(docs, k=k, percent=percent).withColumn("row", F.monotonically_increasing_id()), "features")
     some = rows.where("n > 0")
-    classes = written(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"), F.first("ph").alias("ph")), "classes")
-    heads = classes.where("rep IS NOT NULL").groupBy("n", "ph").agg(F.min(F.struct("rep", "s1")).alias("h"), F.count("*").alias("members")).select("n", "ph", F.col("h.rep").alias("gid"), F.col("h.s1").alias("gs"), "members")
-    heads = written(heads, "groups")
-    members = classes.where("rep IS NOT NULL").join(heads.where("members > 1"), ["n", "ph"]).select("gid", "gs", "rep", "s1", "n")
-    members = written(members, "members")
-    # One row per prefix shingle of a group, from the row that is the group's first.
-    first = some.join(heads.select(F.col("gid").alias("doc_id"), F.col("gs").alias("s1"), "gs", "gid"), ["doc_id", "s1"]).groupBy("gid", "n", "gs").agg(F.first("prefix").alias("prefix"))
-    posts = first.select("gid", "n", "gs", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    blocks_of = posts.groupBy("token").agg(F.min(F.struct("pos", "gid", "n", "gs")).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
+    classes = written(some.groupBy("n", "s1", "s2").agg(F.min(named).alias("m"), F.count("*").alias("n_class"), F.first("ph").alias("ph")).select("n", "s1", "s2", "ph", "n_class", F.col("m.doc_id").alias("rep"), "m.row"), "classes")
+    heads = written(classes.where("rep IS NOT NULL").groupBy("n", "ph").agg(F.min(F.struct("rep", "row")).alias("h"), F.count("*").alias("members")).select("n", "ph", F.col("h.rep").alias("gid"), "h.row", "members"), "groups")
+    members = written(classes.where("rep IS NOT NULL").join(heads.where("members > 1").drop("row"), ["n", "ph"]).select("gid", "rep"), "members")
+    release(spark)
+    # One row per prefix shingle of a group, from the row that is the group's first; at is the size and the place in one number.
+    first = some.select("row", "n", "prefix").join(heads.select("row", "gid"), "row")
+    posts = first.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at")).repartition("token")
+    size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+    earliest = F.min(F.struct(place("at").alias("pos"), "gid", "at")).alias("p")
+    blocks_of = posts.groupBy("token").agg(earliest, F.count("*").alias("c")).where("c > 1").select("token", F.col("p.gid").alias("p_gid"), F.col("p.at").alias("p_at"))
     shared = written(posts.join(blocks_of, "token"), "postings")
+    release(spark)
 
-    def fits(n1, i1, n2, i2):
+    def fits(at1, at2):
+        n1, n2 = size(at1), size(at2)
         need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
-        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - i1, n2 - i2) >= need)
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - place(at1), n2 - place(at2)) >= need)
 
-    star = shared.where((F.col("gid") != F.col("p.gid")) & fits(F.col("n"), F.col("pos"), F.col("p.n"), F.col("p.pos")))
-    star = star.groupBy("gid", "gs", F.col("p.gid").alias("a"), F.col("p.gs").alias("sa")).agg(F.count("*").alias("c")).groupBy("gid", "gs").agg(F.max_by(F.struct("a", "sa"), F.struct("c", -F.col("a"))).alias("best"))
-    pairs = star.select(F.col("best.a").alias("a"), F.col("best.sa").alias("sa"), F.col("gid").alias("b"), F.col("gs").alias("sb"))
-    pairs = pairs.unionByName(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("gs").alias("sa"), F.col("rep").alias("b"), F.col("s1").alias("sb")))
+    star = shared.where((F.col("gid") != F.col("p_gid")) & fits("at", "p_at"))
+    star = star.groupBy("gid", "p_gid").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max_by("p_gid", F.struct("c", -F.col("p_gid"))).alias("a"))
+    pairs = star.select("a", F.col("gid").alias("b")).unionByName(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     links = written(verify(docs, pairs, k=k, percent=percent), "links")
+    release(spark)
     comps = written(components(links), "components")
 
     # What is left: pairs of one block that are in different components.
     member_comp = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     spread = written(member_comp.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "spread")
-    located = shared.select("token", "gid", "n", "pos", "gs").join(comps.withColumnRenamed("node", "gid"), "gid", "left").join(spread, "gid", "left")
+    located = shared.select("token", "gid", "at").join(comps.withColumnRenamed("node", "gid"), "gid", "left").join(spread, "gid", "left")
     located = located.withColumn("lo", F.coalesce("lo", "comp", "gid")).withColumn("hi", F.coalesce("hi", "comp", "gid")).drop("comp")
     mixed = located.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
     located = written(located.join(mixed, "token"), "located")
     x, y = located.alias("x"), located.alias("y")
     across = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
-    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & across & fits(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-    groups = groups.select(F.col("x.gid").alias("ga"), F.col("x.gs").alias("sa"), F.col("y.gid").alias("gb"), F.col("y.gs").alias("sb")).distinct()
-    groups = groups.unionByName(spread.where("lo <> hi").join(members.groupBy("gid").agg(F.first("gs").alias("gs")), "gid").select(F.col("gid").alias("ga"), F.col("gs").alias("sa"), F.col("gid").alias("gb"), F.col("gs").alias("sb")))
-    side = lambda g, s, r: members.select(F.col("gid").alias(g), F.col("rep").alias(r), F.col("s1").alias(f"m{s}"))
-    wide = groups.join(side("ga", "sa", "ra"), "ga", "left").join(side("gb", "sb", "rb"), "gb", "left")
-    wide = wide.select(F.coalesce("ra", "ga").alias("a"), F.coalesce("msa", "sa").alias("sa"), F.coalesce("rb", "gb").alias("b"), F.coalesce("msb", "sb").alias("sb"))
+    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & across & fits("x.at", "y.at"))
+    groups = groups.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    groups = groups.unionByName(spread.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+    side = lambda g, r: members.select(F.col("gid").alias(g), F.col("rep").alias(r))
+    wide = groups.join(side("ga", "ra"), "ga", "left").join(side("gb", "rb"), "gb", "left").select("ga", "gb", F.coalesce("ra", "ga").alias("a"), F.coalesce("rb", "gb").alias("b"))
     wide = wide.where((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))
     for end in ("a", "b"):
         wide = wide.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-    rest = wide.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "sa", "b", "sb")
+    rest = wide.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
     more = written(verify(docs, rest, k=k, percent=percent), "links")
+    release(spark)
     final = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more)) if more.head(1) else comps
-    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("c"), "n_class")
+    known = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("c"), "n_class")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"))
-    return some.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "n_class").unionByName(empty)
+    return some.select("doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "n_class").unionByName(empty)
