@@ -7,27 +7,33 @@ as Parquet in the shared folder and reads them again for the next stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haploweave.llm import jaccard_join, language_id, mixing, packing, queries, toxicity
 from haploweave.llm.store import written
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not in ids; rows with a null id stay."""
-    return docs.join(written(ids.distinct(), "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs whose id is not in ids; rows with a null id stay.
+
+    Only rows that share one of 2^19 hash values with an id are shuffled for the exact comparison."""
+    ids = written(ids.distinct(), "rejected")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 19)).cast("int").alias("_slot")
+    slots = F.broadcast(ids.select(slot).distinct())
+    marked = docs.withColumn("_slot", slot)
+    near, far = marked.join(slots, "_slot", "left_semi"), marked.join(slots, "_slot", "left_anti")
+    return far.unionByName(near.join(ids, "doc_id", "left_anti")).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no language (und) go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return _without(docs, found.where("lang_pred = 'und'").select("doc_id"))
+    return docs.where(language_id.language_column(spark, language_id.fit(docs)) != "und")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = toxicity.classify(docs, toxicity.fit(docs, labels))
-    return _without(docs, found.where("predicted = 1").select("doc_id"))
+    return docs.where(toxicity.score_column(spark, toxicity.fit(docs, labels)) < 0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import release, written
-from .textblock import blocks, mix, shingles, words
+from .textblock import blocks, mix, shingles, trim, words
 
 #: Hash buckets of the shingle counts, and slices in which they are summed.
 BUCKETS, SLICES = 1 << 20, 64
@@ -65,6 +65,7 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
                 total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
                 salt ^= int(h[:1].sum()) & 15
         yield from packed(total, salt)
+        trim()
 
     def packed(total: np.ndarray, salt: int, only: int | None = None) -> Iterator[pa.RecordBatch]:
         out = []
@@ -106,6 +107,7 @@ def features(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
                 a, b = _digest(s)
                 n.append(len(s)), s1.append(a), s2.append(b), ph.append(_digest(head.astype(np.uint64))[0]), prefix.append(head)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(ph, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "ph", "prefix"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(build, f"doc_id {kind.simpleString()}, n long, s1 long, s2 long, ph long, prefix array<long>")
 

@@ -19,16 +19,16 @@ count as never held out; repeated rows give repeated results; no labelled text
 means ``und`` everywhere; other columns of the input are ignored.
 """
 
-from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblock import Lookup, blocks
+from .textblock import Lookup, blocks, trim
 
 ORDER = 3
 PAD = 10
@@ -126,6 +126,42 @@ def fit(docs: DataFrame, *, folds: int = 3, held: int = 1, max_bytes: int = 1_50
     return PPM(samples, order)
 
 
+def _predict(m: PPM, text: pa.Array, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, posterior and bits per byte of each lower-cased text."""
+    lang, conf, bits = [], [np.zeros(0)], [np.zeros(0)]
+    for lo, hi, data, offs in blocks(text):
+        cost = m.code_lengths(data, offs)
+        if not m.langs:
+            best, p, b = np.zeros(hi - lo, int), np.zeros(hi - lo), np.zeros(hi - lo)
+        else:
+            best = cost.argmin(axis=1)
+            low = cost[np.arange(hi - lo), best]
+            p = 1 / np.exp(np.maximum(low[:, None] - cost, -700)).sum(axis=1)
+            b = low / np.log(2) / np.maximum(np.diff(offs), 1)
+        ok = letters[lo:hi] & bool(m.langs)
+        lang += [m.langs[i] if y else "und" for i, y in zip(best, ok)]
+        conf.append(np.where(ok, p, 0.0))
+        bits.append(b)
+    return lang, np.concatenate(conf), np.concatenate(bits)
+
+
+_LETTER = r"\p{L}"
+
+
+def language_column(spark: SparkSession, model: PPM, text: str = "text") -> Column:
+    """The predicted language as a column, for use as a filter."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def predict(t: pd.Series, y: pd.Series) -> pd.Series:
+        out = pd.Series(_predict(shared.value, pa.array(t, pa.string()), y.to_numpy(bool))[0])
+        trim()
+        return out
+
+    whole = F.coalesce(text, F.lit(""))
+    return predict(F.lower(whole), whole.rlike(_LETTER))
+
+
 def identify(docs: DataFrame, model: PPM, *, folds: int = 3, held: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (posterior of the winner under equal priors), bits_per_byte (code length under the winner)."""
     kind = docs.schema["doc_id"].dataType
@@ -134,25 +170,11 @@ def identify(docs: DataFrame, model: PPM, *, folds: int = 3, held: int = 1) -> D
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            lang, conf, bits = [], [], []
-            letters = np.asarray(batch.column(2).to_pylist(), bool)
-            for lo, hi, data, offs in blocks(batch.column(1)):
-                cost = m.code_lengths(data, offs)
-                if not m.langs:
-                    best, p, b = np.zeros(hi - lo, int), np.zeros(hi - lo), np.zeros(hi - lo)
-                else:
-                    best = cost.argmin(axis=1)
-                    low = cost[np.arange(hi - lo), best]
-                    p = 1 / np.exp(np.maximum(low[:, None] - cost, -700)).sum(axis=1)
-                    b = low / np.log(2) / np.maximum(np.diff(offs), 1)
-                ok = letters[lo:hi] & bool(m.langs)
-                lang += [m.langs[i] if y else "und" for i, y in zip(best, ok)]
-                conf.append(np.where(ok, p, 0.0))
-                bits.append(b)
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), cat(conf), cat(bits)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            lang, conf, bits = _predict(m, batch.column(1), np.asarray(batch.column(2).to_pylist(), bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(conf), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+        trim()
 
     text = F.coalesce("text", F.lit(""))
-    found = docs.select("doc_id", F.lower(text).alias("text"), text.rlike(r"\p{L}").alias("letters")).mapInArrow(score, f"doc_id {kind.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    found = docs.select("doc_id", F.lower(text).alias("text"), text.rlike(_LETTER).alias("letters")).mapInArrow(score, f"doc_id {kind.simpleString()}, lang_pred string, score double, bits_per_byte double")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
     return found.select("doc_id", (fold == held).alias("held_out"), "lang_pred", "score", "bits_per_byte")

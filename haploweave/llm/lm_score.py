@@ -169,7 +169,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1,
         learn = crc_mod(table.column("doc_id").to_pylist(), folds) != held
         chunk = table.column("chunk")[0].as_py()
         found: dict[int, list] = {WORD: [], GRAM: []}
-        for lo, hi, data, offs in blocks(table.column("text")):
+        for lo, hi, data, offs in blocks(table.column("text"), 4 << 20):
             h, row = words(data, offs)
             code, to = _codes(data, offs, depth)
             for what, keys, train in ((WORD, h, learn[lo:hi][row]), (GRAM, code, np.repeat(learn[lo:hi], np.diff(to)))):
@@ -266,7 +266,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1,
             keys = np.frombuffer(b"".join(k for k, _ in rows), "<u8")
             known[what] = Lookup(keys), np.frombuffer(b"".join(v for _, v in rows), dtype)
         out: list[np.ndarray] = []
-        for lo, hi, data, offs in blocks(texts.column("text")):
+        for lo, hi, data, offs in blocks(texts.column("text"), 4 << 20):
             n = hi - lo
             h, row = words(data, offs)
             c = known[WORD][1][known[WORD][0].find(h)].astype(float) if len(h) else np.zeros(0)

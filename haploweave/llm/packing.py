@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .textblock import blocks, spans
+from .textblock import blocks, spans, trim
 
 SALTS = 1024
 _ENCODERS: dict = {}
@@ -146,6 +146,7 @@ def pieces(docs: DataFrame, *, vocabulary: str, pattern: str, end: int = 2, capa
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(cut, schema)

@@ -7,13 +7,15 @@ the block or by the one text that is longer than it.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+_LIBC = ctypes.CDLL(None)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: The bytes that end a word: space and 0x09 to 0x0D.
@@ -25,6 +27,13 @@ _T = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _R = np.random.default_rng(7).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that an idle Python worker does not keep the peak of its last task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

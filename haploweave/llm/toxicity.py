@@ -20,17 +20,19 @@ smoothed share of the labels seen; null ids are kept, never learned from, and no
 held out; extra columns of either table are ignored.
 """
 
-from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textblock import trim
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Groups of identity terms; a counterfactual takes the next term of the group.
 IDENTITY = (
@@ -111,7 +113,8 @@ def train(texts: list[str], y: list[int], *, penalty: float = 10.0, min_docs: in
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
         return Classifier({}, float(np.log(p / (1 - p))))
-    bags = [features(t) for t in texts]
+    names: dict[str, str] = {}
+    bags = [{names.setdefault(w, w) for w in features(t)} for t in texts]
     seen = Counter(w for b in bags for w in b)
     cut = min(min_docs, max(1, len(texts) // 20))
     vocab = sorted(w for w, n in seen.items() if n >= cut or w in SWAP) + sorted(w for w in set(SWAP.values()) - seen.keys())
@@ -128,19 +131,32 @@ def train(texts: list[str], y: list[int], *, penalty: float = 10.0, min_docs: in
     return Classifier(kept, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, max_rows: int = 4000, max_chars: int = 50_000, **options) -> Classifier:
-    """Learn from labelled rows outside the held-out fold, at most about ``max_rows`` of each label, drawn by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, max_rows: int = 3000, max_chars: int = 30_000, **options) -> Classifier:
+    """Learn from labelled rows outside the held-out fold, at most about ``max_rows`` of each label, drawn by a hash of the id; that bound is also what makes the drawn ids safe to broadcast."""
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     marked = labels.where(F.col("toxic").isin(0, 1) & (fold != held)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("toxic") == 1, min(1.0, max_rows / max(total.get(1, 0), 1))).otherwise(min(1.0, max_rows / max(total.get(0, 0), 1)))
     drawn = marked.where(draw < rate)
-    found = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(drawn, "doc_id")
+    found = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     rows = sorted(((r["doc_id"], r["toxic"], r["text"]) for r in found.toLocalIterator()), key=lambda r: (str(r[0]), r[1], r[2]))
     return train([r[2] for r in rows], [r[1] for r in rows], **options)
 
 
+def score_column(spark: SparkSession, model: Classifier, text: str = "text") -> Column:
+    """The score as a column, for use as a filter."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(t: pd.Series) -> pd.Series:
+        out = pd.Series([shared.value.score(x or "") for x in t], dtype=float)
+        trim()
+        return out
+
+    return score(F.coalesce(text, F.lit("")))
+
+
 def classify(docs: DataFrame, model: Classifier, *, folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     kind = docs.schema["doc_id"].dataType
@@ -150,6 +166,7 @@ def classify(docs: DataFrame, model: Classifier, *, folds: int = 3, held: int =
         m = shared.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x or "") for x in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+        trim()
 
     found = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind.simpleString()}, score double")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
