@@ -33,13 +33,19 @@ from .store import written
 from .textblock import blocks, spans, trim
 
 SALTS = 1024
+#: First bytes of characters that are never white space (C2, E1, E2 and E3 begin some that are), and last bytes of such.
+AFTER = np.ones(256, bool)
+AFTER[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+BEFORE = np.zeros(256, bool)
+BEFORE[0x21:0x7F] = True
 _ENCODERS: dict = {}
 
 
 class Encoder:
     """Token ids of blocks of texts.
 
-    A single space before a character that is no space always begins a token of the pattern, so the
+    A single space always begins a token of the pattern if the character after it, or the one before it, is
+    no white space (``AFTER`` and ``BEFORE`` are bytes that surely belong to such characters), so the
     stretches between such spaces are encoded on their own and remembered (at most ``keep`` of them);
     new ones are encoded in one string and told apart by the widths of the tokens. Texts with runs of spaces are encoded in one go.
     """
@@ -82,7 +88,7 @@ class Encoder:
         edge[offs] = True
         twice = np.flatnonzero(space[1:] & space[:-1] & ~edge[1:n])
         cut = np.zeros(n, bool)
-        cut[1:-1] = space[1:-1] & ~space[:-2] & ~space[2:] & ~edge[2:n]
+        cut[1:-1] = space[1:-1] & ~space[:-2] & ~space[2:] & ~edge[2:n] & (AFTER[data[2:]] | BEFORE[data[:-2]])
         for r in np.unique(np.searchsorted(offs, twice, "right") - 1):
             cut[offs[r] : offs[r + 1]] = False
         starts = np.flatnonzero(cut | edge[:n])
