@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import release, written
+from .store import bound_batches, release, written
 from .textblock import blocks, mix, shingles, trim, words
 
 #: Hash buckets of the shingle counts, and slices in which they are summed.
@@ -146,6 +146,7 @@ def verify(docs: DataFrame, pairs: DataFrame, *, k: int = 5, percent: int = 75)
 def join(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_class (rows of an equal set)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = written(features(docs, k=k, percent=percent).withColumn("row", F.monotonically_increasing_id()), "features")
     some = rows.where("n > 0")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))

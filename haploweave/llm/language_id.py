@@ -23,11 +23,11 @@ means ``und`` everywhere; other columns of the input are ignored.
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bound_batches
 from .textblock import Lookup, blocks, trim
 
 ORDER = 3
@@ -150,11 +150,12 @@ _LETTER = r"\p{L}"
 
 def language_column(spark: SparkSession, model: PPM, text: str = "text") -> Column:
     """The predicted language as a column, for use as a filter."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def predict(t: pd.Series, y: pd.Series) -> pd.Series:
-        out = pd.Series(_predict(shared.value, pa.array(t, pa.string()), y.to_numpy(bool))[0])
+    @F.arrow_udf("string")
+    def predict(t: pa.Array, y: pa.Array) -> pa.Array:
+        out = pa.array(_predict(shared.value, t, y.to_numpy(zero_copy_only=False).astype(bool))[0], pa.string())
         trim()
         return out
 
@@ -165,6 +166,7 @@ def language_column(spark: SparkSession, model: PPM, text: str = "text") -> Colu
 def identify(docs: DataFrame, model: PPM, *, folds: int = 3, held: int = 1) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (posterior of the winner under equal priors), bits_per_byte (code length under the winner)."""
     kind = docs.schema["doc_id"].dataType
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

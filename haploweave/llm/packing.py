@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import bound_batches, written
 from .textblock import blocks, spans, trim
 
 SALTS = 1024
@@ -125,6 +125,7 @@ def encoder(vocabulary: str, pattern: str) -> Encoder:
 def pieces(docs: DataFrame, *, vocabulary: str, pattern: str, end: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids. A document of more than ``capacity`` ids is cut so that only its first piece is shorter."""
     kind = docs.schema["doc_id"].dataType
+    bound_batches(docs.sparkSession)
     stop = np.asarray([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Hand texts to Python in Arrow batches of about ``limit`` bytes (or one row), not by a number of rows of any length. A limit that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(limit))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it notices at the JVM's next collection only."""
     gc.collect()

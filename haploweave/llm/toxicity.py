@@ -26,11 +26,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bound_batches
 from .textblock import trim
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -146,11 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, ma
 
 def score_column(spark: SparkSession, model: Classifier, text: str = "text") -> Column:
     """The score as a column, for use as a filter."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(t: pd.Series) -> pd.Series:
-        out = pd.Series([shared.value.score(x or "") for x in t], dtype=float)
+    @F.arrow_udf("double")
+    def score(t: pa.Array) -> pa.Array:
+        out = pa.array([shared.value.score(x.as_py() or "") for x in t], pa.float64())
         trim()
         return out
 
@@ -160,12 +161,13 @@ def score_column(spark: SparkSession, model: Classifier, text: str = "text") ->
 def classify(docs: DataFrame, model: Classifier, *, folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
     kind = docs.schema["doc_id"].dataType
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x or "") for x in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(x.as_py() or "") for x in batch.column(1)], pa.float64())], ["doc_id", "score"])
         trim()
 
     found = docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind.simpleString()}, score double")
