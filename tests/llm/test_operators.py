@@ -150,6 +150,52 @@ def test_quotation(spark):
     assert got[1, 2]["clean_text"] == "thanks" and got[1, 2]["quote_depth"] == 2 and got[1, 2]["reply_depth"] == 2
 
 
+def _linked(rows):
+    """turn: (parent_turn, linked_lines) of one conversation, by comparing every passage with every stretch of every earlier message."""
+    own, quotes = {}, {}
+    for turn, text in rows:
+        runs = []
+        for x in text.split("\n"):
+            marks = re.match(r"(?:[ \t]*>)*", x).group()
+            level, norm = marks.count(">"), " ".join(x[len(marks) :].lower().split())
+            if norm and runs and runs[-1][0] == level:
+                runs[-1][1].append(norm)
+            elif norm:
+                runs.append((level, [norm]))
+        own[turn] = [n for v, r in runs if v == 0 for n in r]
+        quotes[turn] = [(v, r) for v, r in runs if v > 0]
+    out = {}
+    for turn, runs in quotes.items():
+        origin = lambda p: next((o for o in sorted(own) if o < turn and any(own[o][i : i + len(p)] == p for i in range(len(own[o])))), None)  # noqa: B023, E731
+        where = {}
+        for level in {v for v, _ in runs}:
+            here = [r for v, r in runs if v == level]
+            whole = [n for r in here for n in r]
+            for n in set(whole):
+                tries = [whole, *sorted((r for r in here if n in r), key=lambda r: (-len(r), -1 if (o := origin(r)) is None else o)), [n]]
+                hit = next((o for o in map(origin, tries) if o is not None), None)
+                if hit is not None:
+                    where[level, n] = hit
+        low = min((v for v, _ in where), default=0)
+        votes = [o for (v, _), o in where.items() if v == low]
+        out[turn] = max(((votes.count(o), o) for o in votes), default=(0, None))[1], len(where)
+    return out
+
+
+def test_quotation_passages(spark):
+    r, cases = random.Random(5), []
+    cases.append(["A line", "other", ">> A line\nok"])  # nested only
+    cases.append(["yes", "no", "yes\nno\nmaybe", "> yes\n> no\nanswer"])  # part of a message
+    cases.append(["a\nb", "c\n\na\nb\nd", "> a\nso\n> b\n> never", "> b\n> d\n>> a\n>> c"])
+    for _ in range(60):
+        lines = lambda: [r.choice("abcd") for _ in range(r.randint(1, 6))]
+        cases.append(["\n".join("> " * r.choice((0, 0, 1, 1, 2)) + x for x in lines()) for _ in range(6)])
+    rows = [(c, t, "u", text) for c, texts in enumerate(cases) for t, text in enumerate(texts)]
+    got = {(x["conv_id"], x["turn"]): (x["parent_turn"], x["linked_lines"]) for x in quotation.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0, 2] == (0, 1) and got[1, 3] == (2, 2)
+    assert got == {(c, t): x for c, texts in enumerate(cases) for t, x in _linked(list(enumerate(texts))).items()}
+
+
 def test_sharding(spark, docs, empty):
     rows = sharding.shard(docs, limit=3000).collect()
     assert len(rows) == 87
