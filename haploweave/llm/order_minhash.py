@@ -6,11 +6,12 @@ by occurrence, so that the n-th copy of a k-mer is an element of its own. Elemen
 are ordered by one hash, whose top bits deal them to ``SLOTS`` slots. In each slot
 the two first elements are selected, put back into the order of the text, and the
 pair of their k-mers is hashed: a slot agrees only if two texts share both k-mers in
-the same order, which follows the edit distance.
+the same order, which follows the edit distance. A slot with fewer than two elements
+takes what it lacks from the slots after it, the last being followed by the first.
 
-A fingerprint is SLOTS times eight hexadecimal digits, dashes for an empty slot. The
-likeness of two is the share of equal slots among those that either has; 1.0 if both are
-empty.
+A fingerprint is SLOTS times eight hexadecimal digits, dashes for a text without k-mers; a
+lone k-mer is hashed by itself in all slots. The likeness of two is the share of equal
+slots among those that either has; 1.0 if both are empty.
 
 The next document is the one with the next larger id. Ranks come from a range sort
 of (id, hash of text, length); texts are shuffled once, and a text's head goes to the
@@ -62,12 +63,16 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     mer = lambda p: F.get(F.col(t("mer")), p)
 
     def pair(i: Column) -> Column:
-        two = F.coalesce(F.shiftright(pick(i + 1), bits) == F.shiftright(pick(i), bits), F.lit(False))
-        return F.when(two, F.xxhash64(mer(F.least(place(i), place(i + 1))), mer(F.greatest(place(i), place(i + 1))))).otherwise(F.xxhash64(mer(place(i)), F.lit(-1)))
-
-    df = df.withColumn(t("sig"), F.map_from_arrays(F.transform(t("slots"), lambda i: F.shiftright(pick(i), bits).cast("int")), F.transform(t("slots"), lambda i: F.lpad(F.hex(pair(i).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))))
-    # Two references keep the optimiser from moving the map into the lambda, where it would be built once a slot.
-    df = df.withColumn(out, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda b: F.coalesce(F.try_element_at(F.col(t("sig")), b), F.when(F.size(t("sig")) >= 0, "--------"))), ""))
+        j = (i + 1) % F.size(t("order"))
+        return F.when(F.size(t("order")) > 1, F.xxhash64(mer(F.least(place(i), place(j))), mer(F.greatest(place(i), place(j))))).otherwise(F.xxhash64(mer(place(i)), F.lit(-1)))
+
+    slot = lambda i: F.shiftright(pick(i), bits).cast("int")
+    # A pair counts for its slot and the empty ones before it; the first pair also for those after the last.
+    since = lambda i, r: slot(i) - F.coalesce(slot(F.get(F.col(t("slots")), r - 1)), F.lit(-1))
+    digits = lambda i: F.lpad(F.hex(pair(i).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    df = df.withColumn(t("sig"), F.array_join(F.transform(t("slots"), lambda i, r: F.repeat(digits(i), since(i, r))), ""))
+    rest = F.expr(f"repeat(substring({t('sig')}, 1, 8), {SLOTS} - length({t('sig')}) div 8)")
+    df = df.withColumn(out, F.when(F.size(t("slots")) == 0, "-" * (8 * SLOTS)).otherwise(F.concat(F.col(t("sig")), rest)))
     return df.drop(*[t(x) for x in ("tok", "mer", "sorted", "runs", "order", "slots", "sig")])
 
 

@@ -142,6 +142,24 @@ def test_fingerprints(spark, docs, empty):
     assert order_minhash.compare(empty).count() == 0
 
 
+def test_fingerprints_of_short_texts(spark):
+    r = random.Random(9)
+    texts = ["a b a b", "b a b a", "a", "", *(" ".join(r.choice("abcdefgh") for _ in range(n)) for n in range(4, 90))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    f = [x["f"] for x in order_minhash.fingerprint(df, "text", "f").orderBy("doc_id").collect()]
+    cut = [[x[i : i + 8] for i in range(0, 512, 8)] for x in f]
+    assert all(len(x) == 512 for x in f) and f[3] == "-" * 512 and all("-" not in x for i, x in enumerate(f) if i != 3)
+    # The same two k-mers in the other order agree in no slot.
+    assert len(set(cut[0])) == len(set(cut[1])) == 1 and cut[0][0] != cut[1][0]
+    # All pairs of the text, hashed as pairs: every slot is one of them.
+    mers = {i: [" ".join(w[j : j + 3]) for j in range(len(w) - 2)] for i, w in ((i, x.split()) for i, x in enumerate(texts)) if len(w) > 3}
+    pairs = [(i, *a.split(), *b.split()) for i, m in mers.items() for a, b in {(m[x], m[y]) for x in range(len(m)) for y in range(x + 1, len(m))}]
+    h = lambda x: "xxhash64({})".format(", ".join(f"xxhash64({c})" for c in x))
+    hashed = spark.createDataFrame(pairs, "i long, a string, b string, c string, d string, e string, f string").selectExpr("i", f"lpad(hex(xxhash64({h('abc')}, {h('def')}) & 4294967295L), 8, '0') as h").collect()
+    known = {(x["i"], x["h"]) for x in hashed}
+    assert all((i, c) in known for i in mers for c in cut[i])
+
+
 def test_quotation(spark):
     rows = [(1, 0, "u", "Hello there\nsecond line"), (1, 1, "a", "> hello  THERE\nmy answer"), (1, 2, "u", "> > hello there\n> my answer\nthanks"), (1, 3, "a", "> never said"), (2, 0, "u", None), (2, 1, "u", ""), (None, 1, "u", "> x"), (3, None, "u", "y")]
     got = {(r["conv_id"], r["turn"]): r for r in quotation.link(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, lines string")).collect()}
