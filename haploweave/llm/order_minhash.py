@@ -18,7 +18,8 @@ of (id, hash of text, length); texts are shuffled once, and a text's head goes t
 document before it, as long as that needs it.
 
 Defined cases: null text is empty; a text of fewer than K tokens is one k-mer, one
-without tokens has none; rows equal in id and text are one document with one row;
+without tokens has none; rows equal in id and text are one document, with one row in
+``compare`` and a row for each of them in ``compare_rows``;
 rows of the same id and other text are documents of their own, in hash order;
 a null id sorts first; a single document is its own next; extra columns are ignored.
 """
@@ -86,40 +87,50 @@ def likeness(a: str, b: str) -> Column:
 
 
 def ranked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, h, n_chars, rank by (doc_id, h) without a single-task sort, and the number of rows."""
-    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_chars")).distinct()
+    """doc_id, h, n_chars, copies, rank by (doc_id, h) without a single-task sort, and the number of rows. copies is the number of equal rows."""
+    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_chars")).groupBy("doc_id", "h", "n_chars").agg(F.count("*").alias("copies"))
     rows = written(keys.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("m", F.monotonically_increasing_id()), "ranks")
     part = F.shiftright("m", 33)
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     rank = F.col("ahead") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    return written(rows.withColumn("p", part).join(sizes, "p").select("doc_id", "h", "n_chars", rank.alias("rank")), "ranks"), rows.count()
+    return written(rows.withColumn("p", part).join(sizes, "p").select("doc_id", "h", "n_chars", "copies", rank.alias("rank")), "ranks"), rows.count()
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, h, next_id, next_h, n_chars, text, edited_text: the last quarter of the characters replaced by the next document's first as many."""
+    """doc_id, h, copies, next_id, next_h, n_chars, text, edited_text: the last quarter of the characters replaced by the next document's first as many."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order, n = ranked(docs)
-    follows = order.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("n_chars").alias("p_chars"), ((F.col("rank") + 1) % max(n, 1)).alias("rank"))
-    links = written(order.select("doc_id", "h", "rank").join(follows, "rank").select("doc_id", "h", "p_id", "p_h", F.floor(F.col("p_chars") / 4).cast("int").alias("need")), "links")
+    follows = order.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("n_chars").alias("p_chars"), F.col("copies").alias("p_copies"), ((F.col("rank") + 1) % max(n, 1)).alias("rank"))
+    links = written(order.select("doc_id", "h", "rank").join(follows, "rank").select("doc_id", "h", "p_id", "p_h", "p_copies", F.floor(F.col("p_chars") / 4).cast("int").alias("need")), "links")
     texts = docs.withColumn("h", F.xxhash64("text"))
     if docs.count() > n:
         texts = texts.dropDuplicates(["doc_id", "h"])
     left, right = texts.alias("t"), links.alias("l")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    heads = left.join(right, same("t.doc_id", "l.doc_id") & (F.col("t.h") == F.col("l.h"))).select("p_id", "p_h", F.col("t.doc_id").alias("next_id"), F.col("t.h").alias("next_h"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
+    heads = left.join(right, same("t.doc_id", "l.doc_id") & (F.col("t.h") == F.col("l.h"))).select("p_id", "p_h", "p_copies", F.col("t.doc_id").alias("next_id"), F.col("t.h").alias("next_h"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
     both = texts.join(heads, same("doc_id", "p_id") & (F.col("h") == F.col("p_h")))
     chars = F.length("text")
     keep = F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 4).cast("int"))
-    return both.select("doc_id", "h", "next_id", "next_h", chars.cast("long").alias("n_chars"), "text", F.concat(keep, "head").alias("edited_text"))
+    return both.select("doc_id", "h", F.col("p_copies").alias("copies"), "next_id", "next_h", chars.cast("long").alias("n_chars"), "text", F.concat(keep, "head").alias("edited_text"))
 
 
-def compare(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def _compared(docs: DataFrame) -> DataFrame:
     rows = edited(docs).withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256))
     rows = fingerprint(fingerprint(rows, "text", "fingerprint"), "edited_text", "edited_fingerprint")
     rows = written(rows.drop("text", "edited_text"), "fingerprints")
     release(docs.sparkSession)
     after = rows.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("fingerprint").alias("next_fingerprint"))
     rows = rows.join(after, F.col("next_id").eqNullSafe(F.col("i")) & (F.col("next_h") == F.col("g")))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    return rows.select("copies", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+def compare(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    return _compared(docs).drop("copies")
+
+
+def compare_rows(docs: DataFrame) -> DataFrame:
+    """The same for every row: a document of n equal rows is returned n times."""
+    rows = _compared(docs)
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")

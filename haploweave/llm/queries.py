@@ -41,7 +41,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.compare(_table(spark, sf_dir, "documents"))
+    return order_minhash.compare_rows(_table(spark, sf_dir, "documents"))
 
 
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

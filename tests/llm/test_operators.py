@@ -160,6 +160,15 @@ def test_fingerprints_of_short_texts(spark):
     assert all((i, c) in known for i in mers for c in cut[i])
 
 
+def test_fingerprints_of_every_row(spark, docs, tmp_path):
+    more = docs.unionByName(docs.where("doc_id IS NULL OR doc_id IN (5, 900)"))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op6_order_minhash(spark, str(tmp_path)).collect()
+    ids = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in rows)
+    assert len(rows) == 90 and ids == sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in more.collect())
+    assert set(rows) == set(order_minhash.compare(docs).collect())
+
+
 def test_quotation(spark):
     rows = [(1, 0, "u", "Hello there\nsecond line"), (1, 1, "a", "> hello  THERE\nmy answer"), (1, 2, "u", "> > hello there\n> my answer\nthanks"), (1, 3, "a", "> never said"), (2, 0, "u", None), (2, 1, "u", ""), (None, 1, "u", "> x"), (3, None, "u", "y")]
     got = {(r["conv_id"], r["turn"]): r for r in quotation.link(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, lines string")).collect()}
