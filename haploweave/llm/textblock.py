@@ -67,20 +67,31 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+class Spans:
+    """64-bit hashes of stretches data[s:e] of one block: differences of one running polynomial."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        with np.errstate(over="ignore"):
+            powers = np.full(n, _P, np.uint64)
+            powers[:1] = 1
+            np.cumprod(powers, out=powers)
+            self.total = np.empty(n + 1, np.uint64)
+            self.total[0] = 0
+            np.cumsum(_T[data] * powers, out=self.total[1:])
+            powers[:] = _INV
+            powers[:1] = 1
+            np.cumprod(powers, out=powers)
+        self.back = powers
+
+    def __call__(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[e] - self.total[s]) * self.back[s] + (e - s).astype(np.uint64))
+
+
 def spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch data[s:e]: differences of one running polynomial."""
-    n = len(data)
-    with np.errstate(over="ignore"):
-        powers = np.full(n, _P, np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_T[data] * powers, out=total[1:])
-        powers[:] = _INV
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        return mix((total[e] - total[s]) * powers[s] + (e - s).astype(np.uint64))
+    """A 64-bit hash of each stretch data[s:e]."""
+    return Spans(data)(s, e)
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

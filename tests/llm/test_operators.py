@@ -47,17 +47,60 @@ def test_language(spark, docs, empty):
 
 
 def test_toxicity(spark, docs, empty):
-    texts = [f"you are an idiot {i % 7}" for i in range(40)] + [f"have a nice day {i % 7}" for i in range(60)] + ["muslim people idiot fool"] * 10 + ["christian people sing"] * 10
-    y = [1] * 40 + [0] * 60 + [1] * 10 + [0] * 10
-    fair, plain = toxicity.train(texts, y, penalty=50.0), toxicity.train(texts, y, penalty=0.0)
-    gap = lambda m: abs(m.weights.get("muslim", 0) - m.weights.get("christian", 0))
-    assert gap(fair) <= gap(plain) and gap(fair) < 0.2
-    assert fair.score("such an idiot") > 0.7 > fair.score("a muslim neighbour")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, None)], "doc_id long, toxic int")
+    texts = [f"you are an idiot {i % 7}" for i in range(40)] + [f"have a nice day {i % 7}" for i in range(60)]
+    model = toxicity.train(texts, [1] * 40 + [0] * 60)
+    assert model.score("Such an IDIOT") > 0.7 > model.score("a nice neighbour") and model.score("") == model.score(None) < 0.7
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, None), (None, 1), (77777, 1), (904, 0)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     rows = toxicity.classify(docs, model).collect()
-    assert len(rows) == 87 and all(0 <= r["score"] <= 1 for r in rows)
+    assert len(rows) == 87 and all(0 <= r["score"] <= 1 for r in rows) and [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
+    assert [r["score"] for r in docs.select(toxicity.score_column(spark, model).alias("score"), "doc_id").collect()] == [r["score"] for r in rows]
     assert toxicity.classify(empty, toxicity.fit(empty, labels)).count() == 0
+    one = toxicity.fit(docs, labels.where("toxic = 0"))
+    assert len({r["score"] for r in toxicity.classify(docs, one).collect()}) == 1
+
+
+def test_toxicity_penalises_swapped_terms():
+    """A term that goes with insults in the sample: neutral mentions of it are flagged without the penalty and not with it."""
+    r = random.Random(3)
+    vocab = "river stone bread light green window garden paper music train market summer letter".split()
+    say = lambda *w: " ".join(r.sample([*r.sample(vocab, 6), *w], 6 + len(w)))
+    texts = [say("muslim", r.choice(["vermin", "filthy"])) if i % 2 else say("muslim") for i in range(40)] + [say("christian") for _ in range(20)] + [say() for _ in range(140)]
+    y = [1] * 40 + [0] * 160
+    fair, plain = toxicity.train(texts, y, penalty=100.0), toxicity.train(texts, y, penalty=0.0)
+    neutral = [say("muslim") for _ in range(50)]
+    flagged = [sum(m.score(t) >= 0.7 for t in neutral) for m in (fair, plain)]
+    assert flagged[0] == 0 and flagged[1] >= 40
+    assert fair.score(say("vermin", "filthy")) > fair.score(neutral[0])
+
+
+def test_toxicity_learns_repeated_stems():
+    """A stem with many endings, used repeatedly, is toxic; used once, or rarely in a long text, it isn't."""
+    r = random.Random(8)
+    syllable = ["ka", "lo", "mi", "tu", "re", "sa", "no", "vi", "pe", "da"]
+    word = lambda: "".join(r.choice(syllable) for _ in range(r.randint(2, 5)))
+    say = lambda n, k: " ".join(r.sample([*(word() for _ in range(n - k)), *("grubx" + word() for _ in range(k))], n))
+    texts = [say(150, r.randint(3, 6)) for _ in range(150)] + [say(150, int(r.random() < 0.1)) for _ in range(600)] + [say(6000, 6) for _ in range(4)]
+    model = toxicity.train(texts, [1] * 150 + [0] * 604)
+    assert sum(model.score(say(150, 5)) >= 0.7 for _ in range(40)) >= 36
+    assert sum(model.score(say(150, i % 2)) >= 0.7 for i in range(40)) <= 1 and model.score(say(6000, 6)) < 0.7 < model.score(say(6000, 200))
+
+
+def test_counterfactual_pairs():
+    groups = (("cat", "dog"), ("red", "blue", "green"))
+    assert toxicity.pairs_of(["The cat met a dog. Nothing."], groups) == [("the cat met a cat", "the dog met a dog")]
+    (a, b), = toxicity.pairs_of(["Just words here."], groups)
+    assert [x for x, y in zip(a.split(), b.split()) if x != y] and len(a.split()) == 4
+    assert len(toxicity.pairs_of(["red. Blue! green? red"], groups)) == 3 and len(toxicity.pairs_of([""], groups)) == 1
+
+
+def test_grams_begin_at_letters():
+    text = "“idiot” — idiot's".encode()
+    words, parts = toxicity.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    whole = next(parts)[0]
+    assert words.tolist() == [3] and whole[0] == whole[1]
+    rest = list(parts)
+    assert [len(h) for h, _ in rest[:2]] == [6, 2] and rest[1][0][0] == rest[1][0][1]
 
 
 def test_packing(spark, docs, empty):
