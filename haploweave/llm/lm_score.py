@@ -11,12 +11,15 @@ A text's score is the log10 probability of its bytes (A-Z lower-cased) and its e
 The base model is the smoothed word unigram.
 
 Work is by chunks of about ``chunk_bytes`` of text (documents dealt by a hash of
-their id). A chunk lists its distinct byte stretches (context and byte) and words
-with training counts. Lists meet by key in parts: counts are summed over the
-corpus, the part's subtrees are weighted (a part holds all contexts that end in the
-same three bytes), and every chunk gets back the value of each of its own keys. So
-no task holds the corpus's model; only nodes of depth up to 2 are broadcast, at
-most 255 * (1 + 256 + 65536), whatever the corpus.
+their id and text) that stream through a task in bounded Arrow batches; a task holds one
+chunk's distinct byte stretches (context and byte) and words with training counts, never its
+texts. These lists meet by key in parts: counts are summed over the corpus, the
+part's subtrees are weighted bit by bit (a part holds all contexts that end in the same two
+bytes), and every chunk gets back the value of each of its own keys. So no task holds the
+corpus's model; only nodes of depth up to 1 pass through the driver and are broadcast, at most
+255 * (1 + 256), whatever the corpus. There are half as many parts as chunks, so the number
+of lists grows with the square of the number of chunks: ``chunk_bytes`` should be raised
+towards 1 GB for a corpus of 100 TB.
 
 Defined cases: null text is empty, an empty text has the end as its only token;
 repeated rows are scored, and count in training, one by one; null ids are kept and
@@ -34,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import release, written
-from .textblock import LOWER, Lookup, blocks, crc_mod, mix, words
+from .store import bound_batches, drop, release, written
+from .textblock import LOWER, Lookup, blocks, crc_mod, mix, trim, words
 
 DEPTH = 5
-WORD, GRAM = 0, 1
+WORD, GRAM, TEXT = 0, 1, 2
 
 
 def _codes(data: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,15 +101,14 @@ def up(key: np.ndarray, depth: int) -> np.ndarray:
     return (((key >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)) << np.uint64(8)) | (key & np.uint64(255))
 
 
-def build(code: np.ndarray, count: np.ndarray, depth: int, least: int) -> dict[int, Level]:
-    """Levels ``least`` to ``depth`` of the trees of all codes with their counts."""
+def build(code: np.ndarray, count: np.ndarray, bit: int, depth: int, least: int) -> dict[int, Level]:
+    """Levels ``least`` to ``depth`` of the trees that decide the bit-th bit, of all codes with their counts."""
     levels: dict[int, Level] = {}
     for d in range(depth, least - 1, -1):
-        parts = [_bits(code, b, d) for b in range(8)]
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        one, n = np.concatenate([x for _, x in parts]), np.tile(count, 8).astype(float)
-        ones = np.bincount(at, n * one, len(keys))
-        zeros = np.bincount(at, n * (1 - one), len(keys))
+        nodes, one = _bits(code, bit, d)
+        keys, at = np.unique(nodes, return_inverse=True)
+        ones = np.bincount(at, count * one, len(keys))
+        zeros = np.bincount(at, count * (1.0 - one), len(keys))
         below = None
         if d < depth:
             child = levels[d + 1]
@@ -115,21 +117,18 @@ def build(code: np.ndarray, count: np.ndarray, depth: int, least: int) -> dict[i
     return levels
 
 
-def log10_of(code: np.ndarray, levels: dict[int, Level]) -> np.ndarray:
-    """log10 probability of each code's byte after its context."""
-    out = np.zeros(len(code))
-    for bit in range(8):
+def log10_bit(code: np.ndarray, bit: int, levels: dict[int, Level]) -> np.ndarray:
+    """log10 probability of the bit-th bit of each code's byte after its context."""
+    p = np.full(len(code), 0.5)
+    for d in sorted(levels, reverse=True):
+        key, one = _bits(code, bit, d)
+        at = levels[d].find(key)
+        hit = at >= 0
+        w, e = levels[d].weight[at[hit]], levels[d].estimate[at[hit]]
+        mixed = w * e + (1 - w) * p[hit]
         p = np.full(len(code), 0.5)
-        for d in sorted(levels, reverse=True):
-            key, one = _bits(code, bit, d)
-            at = levels[d].find(key)
-            hit = at >= 0
-            w, e = levels[d].weight[at[hit]], levels[d].estimate[at[hit]]
-            mixed = w * e + (1 - w) * p[hit]
-            p = np.full(len(code), 0.5)
-            p[hit] = mixed
-        out += np.log10(np.where(one == 1, p, 1 - p))
-    return out
+        p[hit] = mixed
+    return np.log10(np.where(one == 1, p, 1 - p))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,71 +143,131 @@ def _blob(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
-def _list(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
-
-
 _KEYS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
 _KEYS_SQL = "part long, chunk long, kind int, keys binary, vals binary"
 _NODES = pa.schema([("node", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("log_pw", pa.float64())])
 
 
-def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1, chunk_bytes: int = 24 << 20) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    if not 3 <= depth <= 6:
-        raise ValueError("depth must be 3 to 6")
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(12, -(-total // chunk_bytes))
-    parts = chunks
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.hash("text"))), F.lit(chunks)).alias("chunk"))
-
-    def gather(table: pa.Table) -> pa.Table:
-        """A chunk's distinct keys and training counts, by part."""
-        learn = crc_mod(table.column("doc_id").to_pylist(), folds) != held
-        chunk = table.column("chunk")[0].as_py()
-        found: dict[int, list] = {WORD: [], GRAM: []}
-        for lo, hi, data, offs in blocks(table.column("text"), 4 << 20):
+def _list(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_KEYS)], schema=_KEYS)
+
+
+class Gathered:
+    """A chunk's distinct words and byte stretches with their training counts."""
+
+    def __init__(self, depth: int):
+        self.depth, self.found = depth, {WORD: [], GRAM: []}
+
+    def add(self, text: pa.Array, learn: np.ndarray) -> None:
+        for lo, hi, data, offs in blocks(text):
             h, row = words(data, offs)
-            code, to = _codes(data, offs, depth)
+            code, to = _codes(data, offs, self.depth)
             for what, keys, train in ((WORD, h, learn[lo:hi][row]), (GRAM, code, np.repeat(learn[lo:hi], np.diff(to)))):
-                all_keys = np.unique(keys)
-                k, n = np.unique(keys[train], return_counts=True)
-                c = np.zeros(len(all_keys), np.int64)
-                c[np.searchsorted(all_keys, k)] = n
-                found[what].append((all_keys, c))
-                if len(found[what]) >= 4:
-                    found[what] = [_merged(found[what])]
+                some, at = np.unique(keys, return_inverse=True)
+                held = self.found[what]
+                held.append((some, np.bincount(at, train, len(some)).astype(np.int64)))
+                if len(held) >= 8:
+                    held[:] = [_merged(held)]
+
+    def lists(self, chunk: int, parts: int) -> list[tuple]:
+        """The lists by part: grams by the two bytes before the byte, words by hash."""
         rows = []
-        for what, lists in found.items():
-            keys, n = _merged(lists)
-            part = (mix((keys >> np.uint64(8)) & np.uint64(0xFFFFFF) if what == GRAM else keys) % np.uint64(parts)).astype(np.int64)
+        for what, held in self.found.items():
+            keys, n = _merged(held)
+            part = (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF) if what == GRAM else keys) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
+            for p in np.flatnonzero(np.diff(bounds)):
                 at = order[bounds[p] : bounds[p + 1]]
-                if len(at):
-                    rows.append((p, chunk, what, _blob(keys[at], "<u8"), _blob(n[at], "<u4" if n[at].max() < 1 << 32 else "<u8")))
-        return _list(rows, _KEYS)
-
-    def lists_of(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        out = []
-        for c, k, n in zip(table.column("chunk").to_pylist(), table.column("keys").to_pylist(), table.column("vals").to_pylist()):
-            keys = np.frombuffer(k, "<u8")
-            out.append((c, keys, np.frombuffer(n, "<u4" if len(n) == 4 * len(keys) else "<u8").astype(np.int64)))
-        return out
-
-    lists = written(dealt.groupBy("chunk").applyInArrow(gather, _KEYS_SQL), "keys")
+                rows.append((int(p), chunk, what, _blob(keys[at], "<u8"), _blob(n[at], "<u4" if n[at].max() < 1 << 32 else "<u8")))
+        return rows
+
+
+def _lists_of(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, keys, counts) of each list."""
+    out = []
+    for c, k, n in zip(*(table.column(x).to_pylist() for x in ("chunk", "keys", "vals"))):
+        keys = np.frombuffer(k, "<u8")
+        out.append((c, keys, np.frombuffer(n, "<u4" if len(n) == 4 * len(keys) else "<u8").astype(np.int64)))
+    return out
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """(value, first row, row after the last) of each run of equal values."""
+    x = np.asarray(column)
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    yield from zip(x[at].tolist(), at.tolist(), [*at[1:].tolist(), len(x)])
+
+
+class Scorer:
+    """Scores a chunk's texts from the values of its keys."""
+
+    def __init__(self, depth: int, ends: int, base_of: float):
+        self.depth, self.ends, self.base_of = depth, ends, base_of
+        self.parts: dict[int, list] = {WORD: [], GRAM: []}
+        self.known: dict[int, tuple] = {}
+
+    def learn(self, kind: int, keys: bytes, vals: bytes) -> None:
+        self.parts[kind].append((keys, vals))
+
+    def score(self, text: pa.Array) -> np.ndarray:
+        """Per text: tokens, known tokens, base score, log10 probability, bytes."""
+        for what, dtype in ((WORD, "<u8"), (GRAM, "<f4")):
+            if what not in self.known:
+                rows = self.parts.pop(what)
+                keys, vals = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, "<u8"), (1, dtype)))
+                self.known[what] = Lookup(keys), vals
+        (word_at, counts), (gram_at, prices) = self.known[WORD], self.known[GRAM]
+        out = [np.zeros((5, 0))]
+        for lo, hi, data, offs in blocks(text):
+            n = hi - lo
+            h, row = words(data, offs)
+            c = counts[word_at.find(h)].astype(float) if len(h) else np.zeros(0)
+            code, to = _codes(data, offs, self.depth)
+            sums = np.add.reduceat(prices[gram_at.find(code)].astype(float), to[:-1])
+            tokens = np.bincount(row, minlength=n) + 1
+            base = np.bincount(row, np.log10(c + 0.5), n) + math.log10(self.ends + 0.5) - tokens * self.base_of
+            out.append(np.stack([tokens, np.bincount(row, c > 0, n) + (self.ends > 0), base, sums, np.diff(offs)]))
+        return np.concatenate(out, axis=1)
+
+
+def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1, chunk_bytes: int = 64 << 20) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth must be 2 to 6")
+    spark = docs.sparkSession
+    bound_batches(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunks = max(12, -(-total // chunk_bytes))
+    parts = max(6, chunks // 2)
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_now = None, None
+        for batch in batches:
+            learn = crc_mod(batch.column(1).to_pylist(), folds) != held
+            for chunk, lo, hi in _runs(batch.column(0)):
+                if chunk != now:
+                    if held_now:
+                        yield from _list(held_now.lists(now, parts)).to_batches()
+                    now, held_now = chunk, Gathered(depth)
+                held_now.add(batch.column(2).slice(lo, hi - lo), learn[lo:hi])
+        if held_now:
+            yield from _list(held_now.lists(now, parts)).to_batches()
+        trim()
+
+    lists = written(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, _KEYS_SQL), "keys")
     release(spark)
 
     def sum_words(table: pa.Table) -> pa.Table:
         """Corpus counts of each chunk's words; chunk -1 has the part's token and type numbers."""
-        own = lists_of(table)
+        own = _lists_of(table)
         keys, n = _merged([(k, c) for _, k, c in own])
         part = table.column("part")[0].as_py()
         rows = [(part, c, WORD, _blob(k, "<u8"), _blob(n[np.searchsorted(keys, k)], "<u8")) for c, k, _ in own]
-        return _list([*rows, (part, -1, WORD, _blob(np.array([n.sum(), (n > 0).sum()]), "<u8"), b"")], _KEYS)
+        trim()
+        return _list([*rows, (part, -1, WORD, _blob(np.array([n.sum(), (n > 0).sum()]), "<u8"), b"")])
 
     by_word = written(lists.where(F.col("kind") == WORD).groupBy("part").applyInArrow(sum_words, _KEYS_SQL), "words")
     tokens = types = 0
@@ -220,64 +279,66 @@ def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1,
     tokens, types = tokens + ends, types + (ends > 0)
     release(spark)
 
-    def trees(table: pa.Table) -> tuple[list, dict[int, Level]]:
-        own = lists_of(table)
-        keys, n = _merged([(k, c) for _, k, c in own])
-        return own, build(keys[n > 0], n[n > 0], depth, 3)
-
     def summits(table: pa.Table) -> pa.Table:
-        """Nodes of depth 2: zeros, ones and the children's log weighted probabilities, as far as the part knows."""
-        _, levels = trees(table)
-        top = levels[3]
-        keys, at = np.unique(up(top.keys, 2), return_inverse=True)
-        sums = [np.bincount(at, x, len(keys)) for x in (top.zeros, top.ones, top.log_pw)]
-        return pa.Table.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(x) for x in sums)], schema=_NODES)
+        """Nodes of depth 1: zeros, ones and the children's log weighted probabilities, as far as the part knows."""
+        keys, n = _merged([(k, c) for _, k, c in _lists_of(table)])
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for bit in range(8):
+            top = build(keys[n > 0], n[n > 0], bit, depth, 2)[2]
+            nodes, at = np.unique(up(top.keys, 1), return_inverse=True)
+            for o, x in zip(out, (nodes.astype(np.int64), *(np.bincount(at, x, len(nodes)) for x in (top.zeros, top.ones, top.log_pw)))):
+                o.append(x)
+        trim()
+        return pa.Table.from_arrays([pa.array(np.concatenate(o)) for o in out], schema=_NODES)
 
     grams = lists.where(F.col("kind") == GRAM)
     nodes = grams.groupBy("part").applyInArrow(summits, "node long, zeros double, ones double, log_pw double").groupBy("node").agg(*(F.sum(c).alias(c) for c in _NODES.names[1:]))
-    got = [(r["node"], r["zeros"], r["ones"], r["log_pw"]) for r in nodes.toLocalIterator()]
-    key = np.array([r[0] for r in got], np.uint64)
-    order = np.argsort(key)
-    table = np.array([r[1:] for r in got], float).reshape(-1, 3)[order]
-    top = {2: Level(key[order], table[:, 0], table[:, 1], table[:, 2])}
-    for d in (1, 0):
-        child = top[d + 1]
-        keys, at = np.unique(up(child.keys, d), return_inverse=True)
-        top[d] = Level(keys, *(np.bincount(at, x, len(keys)) for x in (child.zeros, child.ones, child.log_pw)))
+    got = nodes.toArrow().sort_by("node")
+    key, zeros, ones, below = (got.column(c).to_numpy() for c in _NODES.names)
+    top = {1: Level(key.astype(np.uint64), zeros, ones, below)}
+    keys, at = np.unique(up(top[1].keys, 0), return_inverse=True)
+    top[0] = Level(keys, *(np.bincount(at, x, len(keys)) for x in (zeros, ones, top[1].log_pw)))
     upper = spark.sparkContext.broadcast(top)
     release(spark)
 
     def price(table: pa.Table) -> pa.Table:
         """log10 probability of each chunk's keys."""
-        own, levels = trees(table)
-        keys = np.unique(np.concatenate([k for _, k, _ in own]))
-        value = log10_of(keys, levels | upper.value)
+        own = _lists_of(table)
+        keys, n = _merged([(k, c) for _, k, c in own])
+        seen, value = n > 0, np.zeros(len(keys))
+        for bit in range(8):
+            value += log10_bit(keys, bit, build(keys[seen], n[seen], bit, depth, 2) | upper.value)
         part = table.column("part")[0].as_py()
-        return _list([(part, c, GRAM, _blob(k, "<u8"), _blob(value[np.searchsorted(keys, k)], "<f4")) for c, k, _ in own], _KEYS)
+        rows = [(part, c, GRAM, _blob(k, "<u8"), _blob(value[np.searchsorted(keys, k)], "<f4")) for c, k, _ in own]
+        trim()
+        return _list(rows)
 
     by_gram = written(grams.groupBy("part").applyInArrow(price, _KEYS_SQL), "prices")
+    drop(lists)
     release(spark)
-    base_of = math.log10(tokens + 0.5 * (types + 1)) if tokens else 0.0
-
-    def total_up(texts: pa.Table, values: pa.Table) -> pa.Table:
-        known: dict[int, tuple] = {}
-        for what, dtype in ((WORD, "<u8"), (GRAM, "<f4")):
-            rows = [(k, v) for w, k, v in zip(values.column("kind").to_pylist(), values.column("keys").to_pylist(), values.column("vals").to_pylist()) if w == what]
-            keys = np.frombuffer(b"".join(k for k, _ in rows), "<u8")
-            known[what] = Lookup(keys), np.frombuffer(b"".join(v for _, v in rows), dtype)
-        out: list[np.ndarray] = []
-        for lo, hi, data, offs in blocks(texts.column("text"), 4 << 20):
-            n = hi - lo
-            h, row = words(data, offs)
-            c = known[WORD][1][known[WORD][0].find(h)].astype(float) if len(h) else np.zeros(0)
-            code, to = _codes(data, offs, depth)
-            bits = known[GRAM][1][known[GRAM][0].find(code)].astype(float)
-            sums = np.add.reduceat(bits, to[:-1])
-            out.append(np.stack([np.bincount(row, minlength=n) + 1, np.bincount(row, c > 0, n) + (ends > 0), np.bincount(row, np.log10(c + 0.5), n) + math.log10(ends + 0.5), sums, np.diff(offs)]))
-        x = np.concatenate(out, axis=1) if out else np.zeros((5, 0))
-        base = x[2] - x[0] * (base_of if tokens else math.log10(0.5))
-        return pa.Table.from_arrays([texts.column("doc_id"), pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64)), pa.array(base), pa.array(x[3]), pa.array(-x[3] * math.log2(10) / (x[4] + 1))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
-
-    values = by_gram.unionByName(by_word.where("chunk >= 0"))
-    scored = dealt.groupBy("chunk").cogroup(values.groupBy("chunk")).applyInArrow(total_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    base_of = math.log10(tokens + 0.5 * (types + 1)) if tokens else math.log10(0.5)
+
+    def total_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, scorer = None, None
+        for batch in batches:
+            for chunk, lo, hi in _runs(batch.column("chunk")):
+                if chunk != now:
+                    scorer = None
+                    now, scorer = chunk, Scorer(depth, ends, base_of)
+                own = batch.slice(lo, hi - lo)
+                for what, a, b in _runs(own.column("kind")):
+                    rows = own.slice(a, b - a)
+                    if what != TEXT:
+                        for k, v in zip(rows.column("keys").to_pylist(), rows.column("vals").to_pylist()):
+                            scorer.learn(what, k, v)
+                        continue
+                    x = scorer.score(rows.column("text"))
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(x[0].astype(np.int64)), pa.array(x[1].astype(np.int64)), pa.array(x[2]), pa.array(x[3]), pa.array(-x[3] * math.log2(10) / (x[4] + 1))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
+        scorer = None
+        trim()
+
+    values = by_gram.unionByName(by_word.where("chunk >= 0")).select("chunk", "kind", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "vals")
+    texts = dealt.select("chunk", F.lit(TEXT).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("vals"))
+    # A chunk's values come before its texts.
+    scored = values.unionByName(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(total_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", (fold == held).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

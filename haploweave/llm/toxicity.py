@@ -225,7 +225,7 @@ def _screen(text: pa.Array, y: np.ndarray, least: int, top: int) -> np.ndarray:
     """Marks the hash buckets that speak for toxicity: at any step, among the ``top`` by log odds times the root of the toxic texts that hold them."""
     size = 1 << _BUCKETS
     found = np.zeros((STEPS, 2, size), np.int32)
-    for lo, hi, data, offs in blocks(text, 1 << 18):
+    for lo, hi, data, offs in blocks(text, 1 << 16):
         words, parts = grams(data, offs)
         for h, row in parts:
             key, count = np.unique((row.astype(np.uint64) << np.uint64(_BUCKETS)) | (h >> np.uint64(64 - _BUCKETS)), return_counts=True)
@@ -243,7 +243,7 @@ def _screen(text: pa.Array, y: np.ndarray, least: int, top: int) -> np.ndarray:
     return marks
 
 
-def train(texts: list[str], y: list[int], *, groups: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 10.0, min_docs: int = 5, candidates: int = 4000, l1: float = 0.002, l2: float = 1e-5, steps: int = 150) -> Classifier:
+def train(texts: list[str], y: list[int], *, groups: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 10.0, min_docs: int = 5, candidates: int = 2000, l1: float = 0.002, l2: float = 1e-5, steps: int = 150) -> Classifier:
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
@@ -252,7 +252,7 @@ def train(texts: list[str], y: list[int], *, groups: tuple[tuple[str, ...], ...]
     least = min(min_docs, max(1, int(y.sum()) // 20))
     marks = _screen(low, y, least, candidates)
     found = [np.zeros(0, np.uint64)]
-    for _, _, data, offs in blocks(low, 1 << 18):
+    for _, _, data, offs in blocks(low, 1 << 16):
         held = [(h[some], row[some]) for h, row in grams(data, offs)[1] if len(some := np.flatnonzero(marks[(h >> np.uint64(64 - _BUCKETS)).astype(np.int64)]))]
         if held:
             h, row = (np.concatenate(x) for x in zip(*held))
@@ -305,7 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, ma
     drawn = marked.where(draw < rate)
     found = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     rows = sorted(((r["doc_id"], r["toxic"], r["text"]) for r in found.toLocalIterator()), key=lambda r: (str(r[0]), r[1], r[2]))
-    return train([r[2] for r in rows], [r[1] for r in rows], **options)
+    model = train([r[2] for r in rows], [r[1] for r in rows], **options)
+    del rows
+    trim()
+    return model
 
 
 def score_column(spark: SparkSession, model: Classifier, text: str = "text") -> Column:

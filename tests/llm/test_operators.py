@@ -327,6 +327,9 @@ def test_lm_score(spark, docs, empty):
             assert rows[i]["base_score"] == pytest.approx(sum(math.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in c))
             assert rows[i]["train_tokens"] == n and rows[i]["n_known"] == sum(x > 0 for x in c) and rows[i]["n_tokens"] == len(c)
     assert lm_score.score(empty).count() == 0
+    for r in lm_score.score(docs, depth=3, chunk_bytes=1500).collect():  # many chunks, the same scores
+        if r["doc_id"] in rows:
+            assert r["score"] == pytest.approx(rows[r["doc_id"]]["score"], rel=1e-5) and r["base_score"] == pytest.approx(rows[r["doc_id"]]["base_score"])
 
 
 def test_top_k(spark):
