@@ -241,7 +241,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1,
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks = max(12, -(-total // chunk_bytes))
     parts = max(6, chunks // 2)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held_now = None, None
@@ -257,7 +257,7 @@ def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1,
             yield from _list(held_now.lists(now, parts)).to_batches()
         trim()
 
-    lists = written(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, _KEYS_SQL), "keys")
+    lists = written(dealt.repartitionById(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, _KEYS_SQL), "keys")
     release(spark)
 
     def sum_words(table: pa.Table) -> pa.Table:
@@ -337,8 +337,8 @@ def score(docs: DataFrame, *, depth: int = DEPTH, folds: int = 5, held: int = 1,
         scorer = None
         trim()
 
-    values = by_gram.unionByName(by_word.where("chunk >= 0")).select("chunk", "kind", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "vals")
+    values = by_gram.unionByName(by_word.where("chunk >= 0")).select(F.col("chunk").cast("int").alias("chunk"), "kind", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("text"), "keys", "vals")
     texts = dealt.select("chunk", F.lit(TEXT).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("vals"))
     # A chunk's values come before its texts.
-    scored = values.unionByName(texts).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(total_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    scored = values.unionByName(texts).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(total_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", (fold == held).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
