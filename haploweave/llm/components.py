@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import drop, written
 
 
 def _fold(e: DataFrame) -> tuple[int, int]:
@@ -14,7 +14,7 @@ def _fold(e: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): comp is the smallest node id reachable. ``edges`` has u and v of one ordered type; loops and repeats do no harm; nodes without an edge are absent.
+    """(node, comp), a written table: comp is the smallest node id reachable. ``edges`` has u and v of one ordered type; loops and repeats do no harm; nodes without an edge are absent.
 
     Large star: every larger neighbour of u is tied to the smallest node of u's neighbourhood; small
     star: the smaller neighbours are. Minima are aggregated before the shuffle and edges are joined on
@@ -30,7 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = written(low, "least")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "edges")
+        drop(e, low)
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+        drop(large, least)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    out = written(out, "components")
+    drop(e)
+    return out

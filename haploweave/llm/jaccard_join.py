@@ -6,19 +6,23 @@ ordered by how common they are (counts of hash buckets over all documents, a tab
 of fixed size) and then by hash, and a set's prefix is its first
 n - ceil(t n) + 1 shingles: sets with Jaccard likeness t or more share a shingle of
 both prefixes. Groups are joined on prefix shingles under the size filter and the
-positional filter (what follows the shared positions must suffice for the overlap).
+positional filter (what follows the shared positions must suffice for the overlap), and
+by the count filter: of two sets, the one whose prefix ends first has all shared shingles of
+its prefix in the other's too, so c shared prefix shingles allow an overlap of at most c
+plus what is behind the prefix.
 
 Only components are wanted, so candidates are verified in two passes. First every
-group is held against one partner, the group that has the shared shingle earliest,
+group is held against one partner at most, of the groups that have a shared shingle earliest the one with
+the most of them, if these are enough for the count filter,
 and every class against its group's first class: one candidate each. Then, where
 sets that share a prefix shingle still are in different components, all remaining
 pairs across components are expanded and verified; pairs inside a component can't
 change it. No pair is capped, sampled or dropped. Verification recomputes exact
-sets from whole texts, in blocks of one text and up to ``FAN`` partners.
+sets from whole texts, in blocks of one text and partners of about ``FAN`` and ``WEIGHT`` shingles.
 
 Defined cases: null or wordless texts have size 0, link with nothing and are their
 own component; fewer words than k make one shingle; rows of the same id count as
-one document and share a component; rows with a null id are returned with what
+one document and share a component, whatever their texts; rows with a null id are returned with what
 their equal copies have, else null; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import bound_batches, release, written
+from .store import bound_batches, drop, release, written
 from .textblock import blocks, mix, shingles, trim, words
 
-#: Hash buckets of the shingle counts, and slices in which they are summed.
-BUCKETS, SLICES = 1 << 20, 64
-FAN = 64
+#: Hash buckets of the shingle counts, slices in which they are summed, and how many summands meet.
+BUCKETS, SLICES, MEET = 1 << 20, 64, 64
+#: Partners, and shingles of partners, that are verified together against one text.
+FAN, WEIGHT = 64, 1 << 19
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -54,19 +60,9 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """How often shingles of each hash bucket occur, over all documents: BUCKETS numbers, whatever the corpus. Summed in two levels so that no task meets the counts of all others."""
+    """How often shingles of each hash bucket occur, over all documents: BUCKETS numbers, whatever the corpus. Summed in a tree, so that no task meets more than MEET others' counts."""
     size = BUCKETS // SLICES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, salt = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            for lo, hi, data, offs in blocks(batch.column(0)):
-                h, to = shingles(*words(data, offs), hi - lo, k)
-                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
-                salt ^= int(h[:1].sum()) & 15
-        yield from packed(total, salt)
-        trim()
-
     def packed(total: np.ndarray, salt: int, only: int | None = None) -> Iterator[pa.RecordBatch]:
         out = []
         for i in range(SLICES) if only is None else [only]:
@@ -76,19 +72,31 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
                 out.append((i, salt, at.astype("<u2").tobytes(), part[at].astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], ["slice", "salt", "at", "n"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for lo, hi, data, offs in blocks(batch.column(0)):
+                h, _ = shingles(*words(data, offs), hi - lo, k)
+                total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
+        yield from packed(total, TaskContext.get().partitionId() // MEET)
+        trim()
+
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
         for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
             at = np.frombuffer(at, "<u2")
             total[at] += np.frombuffer(n, "<u4" if len(n) == 4 * len(at) else "<u8").astype(np.int64)
-        return pa.Table.from_batches(list(packed(total, 0, table.column("slice")[0].as_py())))
+        return pa.Table.from_batches(list(packed(total, table.column("salt")[0].as_py() // MEET, table.column("slice")[0].as_py())))
 
     schema = "slice int, salt int, at binary, n binary"
-    parts = docs.select("text").mapInArrow(count, schema).groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
+    text = docs.select("text")
+    parts, left = text.mapInArrow(count, schema), text.rdd.getNumPartitions()
+    while left > 1:
+        parts, left = parts.groupBy("slice", "salt").applyInArrow(add, schema), -(-left // MEET)
     total = np.zeros(BUCKETS, np.int64)
     for r in parts.collect():
         at = np.frombuffer(r["at"], "<u2").astype(np.int64)
-        total[r["slice"] * size + at] = np.frombuffer(r["n"], "<u4" if len(r["n"]) == 4 * len(at) else "<u8")
+        total[r["slice"] * size + at] += np.frombuffer(r["n"], "<u4" if len(r["n"]) == 4 * len(at) else "<u8")
     return total
 
 
@@ -113,13 +121,14 @@ def features(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link: (u, v).
+    """The pairs (a, b) of ids whose sets link: (u, v). ``pairs`` has a, b and w, the size of b's set.
 
-    Each text is sent once for every block of up to FAN pairs that share it as their first document."""
+    Each text is sent once for every block of pairs that share it as their first document; equal rows of an id are compared once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = written(pairs, "pairs")
-    fans = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("fans")), "fans")
-    chunked = written(pairs.join(fans, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "fans")).drop("fans"), "pairs")
+    fans = written(pairs.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / FAN, F.sum("w") / WEIGHT)).alias("fans")), "fans")
+    chunked = written(pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").alias("chunk")), "pairs")
+    drop(pairs, fans)
     needs = chunked.select(F.col("a").alias("id"), "a", "chunk").distinct().unionByName(chunked.select(F.col("b").alias("id"), "a", "chunk"))
     # Texts that no pair needs are left out of the shuffle: a table of at most 2^19 hash values tells most of them.
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 19)).cast("int")
@@ -128,52 +137,74 @@ def verify(docs: DataFrame, pairs: DataFrame, *, k: int = 5, percent: int = 75)
 
     def check(table: pa.Table) -> pa.Table:
         ids, hub = table.column("id").to_pylist(), table.column("a")[0].as_py()
-        sets = [(i, x) for i, x in zip(ids, _sets(table.column("text"), k)) if len(x)]
-        first = [x for i, x in sets if i == hub]
+        sets = {(i, _digest(x)): x for i, x in zip(ids, _sets(table.column("text"), k)) if len(x)}
+        first = [x for (i, _), x in sets.items() if i == hub]
         found = set()
-        for i, y in sets:
+        for (i, _), y in sets.items():
             for x in first:
                 if i != hub and i not in found:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         found.add(i)
         kind_of = table.schema.field("id").type
+        trim()
         return pa.table({"u": pa.array([hub] * len(found), kind_of), "v": pa.array(sorted(found), kind_of)})
 
-    return needs.join(texts, "id").groupBy("a", "chunk").applyInArrow(check, f"u {kind}, v {kind}")
+    links = written(needs.join(texts, "id").groupBy("a", "chunk").applyInArrow(check, f"u {kind}, v {kind}"), "links")
+    drop(chunked)
+    return links
 
 
 def join(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_class (rows of an equal set)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = written(features(docs, k=k, percent=percent).withColumn("row", F.monotonically_increasing_id()), "features")
+    wide = written(features(docs, k=k, percent=percent).withColumn("row", F.monotonically_increasing_id()), "features")
+    rows = written(wide.drop("prefix"), "sets")
     some = rows.where("n > 0")
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))
     classes = written(some.groupBy("n", "s1", "s2").agg(F.min(named).alias("m"), F.count("*").alias("n_class"), F.first("ph").alias("ph")).select("n", "s1", "s2", "ph", "n_class", F.col("m.doc_id").alias("rep"), "m.row"), "classes")
     heads = written(classes.where("rep IS NOT NULL").groupBy("n", "ph").agg(F.min(F.struct("rep", "row")).alias("h"), F.count("*").alias("members")).select("n", "ph", F.col("h.rep").alias("gid"), "h.row", "members"), "groups")
-    members = written(classes.where("rep IS NOT NULL").join(heads.where("members > 1").drop("row"), ["n", "ph"]).select("gid", "rep"), "members")
+    members = written(classes.where("rep IS NOT NULL").join(heads.where("members > 1").drop("row"), ["n", "ph"]).select("gid", "rep", "n"), "members")
+    # An id with rows of different sets ties their classes together.
+    torn = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x"), F.max(F.struct("n", "s1", "s2")).alias("y")).where("x <> y").select("doc_id")
+    ties = written(some.join(torn, "doc_id").select("doc_id", "n", "s1", "s2").distinct().join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")), "ties")
     release(spark)
     # One row per prefix shingle of a group, from the row that is the group's first; at is the size and the place in one number.
-    first = some.select("row", "n", "prefix").join(heads.select("row", "gid"), "row")
+    first = wide.where("n > 0").select("row", "n", "prefix").join(heads.select("row", "gid"), "row")
     posts = first.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at")).repartition("token")
     size, place = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
     earliest = F.min(F.struct(place("at").alias("pos"), "gid", "at")).alias("p")
-    blocks_of = posts.groupBy("token").agg(earliest, F.count("*").alias("c")).where("c > 1").select("token", F.col("p.gid").alias("p_gid"), F.col("p.at").alias("p_at"))
+    blocks_of = posts.groupBy("token").agg(earliest, F.min(F.struct("gid", "at")).alias("q"), F.count("*").alias("c")).where("c > 1").select("token", F.struct("p.gid", "p.at").alias("p"), "q")
     shared = written(posts.join(blocks_of, "token"), "postings")
+    drop(wide)
     release(spark)
 
-    def fits(at1, at2):
-        n1, n2 = size(at1), size(at2)
-        need = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
-        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - place(at1), n2 - place(at2)) >= need)
+    def least(n1: Column, n2: Column) -> Column:
+        """The smallest overlap of sets that link."""
+        return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
 
-    star = shared.where((F.col("gid") != F.col("p_gid")) & fits("at", "p_at"))
-    star = star.groupBy("gid", "p_gid").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max_by("p_gid", F.struct("c", -F.col("p_gid"))).alias("a"))
-    pairs = star.select("a", F.col("gid").alias("b")).unionByName(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
-    links = written(verify(docs, pairs, k=k, percent=percent), "links")
+    def fits(at1: str, at2: str) -> Column:
+        n1, n2 = size(at1), size(at2)
+        return F.least(n1 - place(at1), n2 - place(at2)) >= least(n1, n2)
+
+    def alike(n1: Column, n2: Column) -> Column:
+        return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
+
+    def enough(n1: Column, n2: Column) -> Column:
+        """The least number of shared prefix shingles of sets that link."""
+        return least(n1, n2) - F.ceil(F.lit(percent) * F.greatest(n1, n2) / F.lit(100)) + 1
+
+    # Partners at a shingle: the group that has it earliest, and the first group.
+    star = shared.select("gid", size("at").alias("n"), F.explode(F.array("p", "q")).alias("p")).select("gid", "n", F.col("p.gid").alias("a"), size("p.at").alias("m"))
+    star = star.where((F.col("gid") != F.col("a")) & alike(F.col("n"), F.col("m"))).groupBy("gid", "a", "n", "m").agg(F.count("*").alias("c"))
+    # Shingles whose partners are other groups don't count here, so half of what is needed will do; what is passed over is met below.
+    star = star.where(2 * F.col("c") >= enough(F.col("n"), F.col("m"))).groupBy("gid", "n").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a"))
+    pairs = star.select("a", F.col("gid").alias("b"), F.col("n").alias("w")).unionByName(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"), F.col("n").alias("w")))
+    links = verify(docs, pairs, k=k, percent=percent)
     release(spark)
-    comps = written(components(links), "components")
+    comps = components(links.unionByName(ties))
+    drop(links)
 
     # What is left: pairs of one block that are in different components.
     member_comp = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -182,20 +213,23 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     located = located.withColumn("lo", F.coalesce("lo", "comp", "gid")).withColumn("hi", F.coalesce("hi", "comp", "gid")).drop("comp")
     mixed = located.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("token")
     located = written(located.join(mixed, "token"), "located")
+    drop(shared)
     x, y = located.alias("x"), located.alias("y")
     across = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
-    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & across & fits("x.at", "y.at"))
-    groups = groups.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
-    groups = groups.unionByName(spread.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & across & alike(size("x.at"), size("y.at")))
+    groups = groups.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.count("*").alias("c"), F.max(fits("x.at", "y.at")).alias("ok"), F.first(size("x.at")).alias("n"), F.first(size("y.at")).alias("m"))
+    groups = groups.where(F.col("ok") & (F.col("c") >= enough(F.col("n"), F.col("m")))).select("ga", "gb", F.col("m").alias("w"))
+    groups = groups.unionByName(spread.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")).join(members.select(F.col("gid").alias("ga"), F.col("n").alias("w")).distinct(), "ga").select("ga", "gb", "w"))
     side = lambda g, r: members.select(F.col("gid").alias(g), F.col("rep").alias(r))
-    wide = groups.join(side("ga", "ra"), "ga", "left").join(side("gb", "rb"), "gb", "left").select("ga", "gb", F.coalesce("ra", "ga").alias("a"), F.coalesce("rb", "gb").alias("b"))
-    wide = wide.where((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))
+    pairs = groups.join(side("ga", "ra"), "ga", "left").join(side("gb", "rb"), "gb", "left").select("ga", "gb", F.coalesce("ra", "ga").alias("a"), F.coalesce("rb", "gb").alias("b"), "w")
+    pairs = pairs.where((F.col("ga") != F.col("gb")) | (F.col("a") < F.col("b")))
     for end in ("a", "b"):
-        wide = wide.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
-    rest = wide.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
-    more = written(verify(docs, rest, k=k, percent=percent), "links")
+        pairs = pairs.join(comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")), end, "left")
+    rest = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).groupBy("a", "b").agg(F.max("w").alias("w"))
+    more = verify(docs, rest, k=k, percent=percent)
+    drop(located)
     release(spark)
     final = components(comps.select(F.col("node").alias("u"), F.col("comp").alias("v")).unionByName(more)) if more.head(1) else comps
     known = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("c"), "n_class")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"))
+    empty = rows.where("n = 0").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class"))
     return some.select("doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "n_class").unionByName(empty)

@@ -152,10 +152,55 @@ def test_join(spark, docs, empty):
                 label = [a if x == b else x for x in label]
     assert got == {i: (len(sets[i]), label[i]) for i in range(150)}
     edge = jaccard_join.join(docs).collect()
-    assert len(edge) == 87 and {r["doc_id"]: r["component_id"] for r in edge}[900] == 900
+    assert len(edge) == 87 and {r["doc_id"]: r["component_id"] for r in edge}[900] == 900 and sum(r["doc_id"] is None for r in edge) == 1
     assert jaccard_join.join(empty).count() == 0
 
 
+def _components(rows):
+    """Brute force: id -> component, rows of one id being one document."""
+    label = {i: i for i, _ in rows}
+    sets = [(i, _sets(t)) for i, t in rows]
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def test_join_repeated_ids_boundary_and_long_texts(spark):
+    w = [f"w{i}" for i in range(200)]
+    say = lambda *x: " ".join(x)
+    rows = [(5, say(*w[:20])), (903, say(*w[:20])), (903, say(*w[30:50])), (7, say(*w[30:50])), (903, say(*w[30:50])), (20, ""), (20, say(*w[60:80])), (21, say(*w[60:80]))]
+    # 12 and 16 shingles share 12: exactly 75 of 100; 11 and 15 share 11: below.
+    rows += [(30, say(*w[80:96])), (31, say(*w[80:100])), (40, say(*w[100:115])), (41, say(*w[100:119]))]
+    long = [f"x{i}" for i in range(40_000)]
+    rows += [(50, say(*long)), (51, say(*long[:35_000])), (52, say(*long[:25_000])), (53, "y" * 500_000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, n string")
+    got = jaccard_join.join(df).collect()
+    want = _components(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(want.items()) and len(got) == len(rows)
+    assert want[30] == want[31] and want[40] != want[41] and want[903] == want[7] == 5 and want[51] == 50 and want[52] != 50
+    assert sorted(r["n_shingles"] for r in got) == sorted(len(_sets(t)) for _, t in rows)
+
+
+def test_join_chains_of_copies(spark):
+    """Clusters whose members link only through others, many shared passages, exact copies."""
+    r = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    passage = [r.choice(vocab) for _ in range(30)]
+    rows = []
+    for c in range(12):
+        w = [r.choice(vocab) for _ in range(120)]
+        for m in range(25):
+            rows.append((c * 100 + m, " ".join(w + passage * (m % 3 == 0))))
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(120)] = r.choice(vocab)
+    r.shuffle(rows)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == _components(rows)
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 87 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
