@@ -1,21 +1,25 @@
 """Order MinHash fingerprints in DataFrame expressions.
 
-A text is a sequence of tokens (stretches of up to ``TOKEN`` characters without
-white space); its k-mers are the ``K`` consecutive tokens from each place, numbered
+A text is cut by its content: after white space and behind every character of ``CUT`` (some
+common letters and digits, and stretches of the other scripts). So a letter put in changes
+one or two tokens, with or without spaces, and never shifts the cuts behind it. The text's
+k-mers are the ``K`` consecutive tokens from each place, numbered
 by occurrence, so that the n-th copy of a k-mer is an element of its own. Elements
 are ordered by one hash, whose top bits deal them to ``SLOTS`` slots. In each slot
 the two first elements are selected, put back into the order of the text, and the
 pair of their k-mers is hashed: a slot agrees only if two texts share both k-mers in
 the same order, which follows the edit distance. A slot with fewer than two elements
 takes what it lacks from the slots after it, the last being followed by the first.
+Elements are packed into 32 bits of hash and 31 of place, which no array's index exceeds.
 
 A fingerprint is SLOTS times eight hexadecimal digits, dashes for a text without k-mers; a
 lone k-mer is hashed by itself in all slots. The likeness of two is the share of equal
 slots among those that either has; 1.0 if both are empty.
 
-The next document is the one with the next larger id. Ranks come from a range sort
-of (id, hash of text, length); texts are shuffled once, and a text's head goes to the
-document before it, as long as that needs it.
+The next document is the one with the next larger id. Texts are shuffled once, into buckets of
+neighbouring (id, hash of text); the boundaries are drawn from a sample of the keys
+(at most ``BUCKETS``, each of about ``BUCKET_BYTES`` or more). Inside a bucket a window hands every
+document its successor's text and fingerprint; the last of a bucket gets the next bucket's first.
 
 Defined cases: null text is empty; a text of fewer than K tokens is one k-mer, one
 without tokens has none; rows equal in id and text are one document, with one row in
@@ -26,13 +30,18 @@ a null id sorts first; a single document is its own next; extra columns are igno
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import release, written
-
-SLOTS, K, TOKEN = 64, 3, 8
-_POS = (1 << 24) - 1
+SLOTS, K = 64, 3
+BUCKETS, BUCKET_BYTES = 1 << 16, 4 << 20
+#: Characters behind which a text is cut, about one in twelve of usual text; beyond Latin, 32 code points of every 256.
+CUT = "iI05" + "".join(f"\\u{x:04X}-\\u{x + 31:04X}" for x in range(0x0400, 0xD800, 0x100))
+_WORDS = rf"[^\s{CUT}]*[{CUT}]|[^\s{CUT}]+"
+_BITS = 31
+_POS = (1 << _BITS) - 1
 
 
 def _empty(kind: str) -> Column:
@@ -48,14 +57,14 @@ def _run_starts(sorted_longs: str, shift: int) -> Column:
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the fingerprint of column ``text`` as column ``out``."""
     t = lambda name: f"_{out}_{name}"
-    df = df.withColumn(t("tok"), F.transform(F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN}}}"), F.lit(0)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(t("tok"), F.transform(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), lambda x: F.xxhash64(x)))
     n = F.greatest(F.size(t("tok")) - (K - 1), F.least(F.size(t("tok")), F.lit(1)))
     df = df.withColumn(t("mer"), F.when(F.size(t("tok")) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(F.col(t("tok")), i + j) for j in range(K)]))).otherwise(_empty("bigint")))
-    df = df.withColumn(t("sorted"), F.sort_array(F.transform(t("mer"), lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 25), 24).bitwiseOR(i.cast("long")))))
-    df = df.withColumn(t("runs"), _run_starts(t("sorted"), 24))
+    df = df.withColumn(t("sorted"), F.sort_array(F.transform(t("mer"), lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 1 + _BITS), _BITS).bitwiseOR(i.cast("long")))))
+    df = df.withColumn(t("runs"), _run_starts(t("sorted"), _BITS))
     end = lambda r: F.coalesce(F.get(F.col(t("runs")), r + 1), F.size(t("sorted"))) - 1
     item = lambda j: F.get(F.col(t("sorted")), j)
-    numbered = lambda s, r: F.transform(F.sequence(s, end(r)), lambda j: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(item(j), 24), j - s), 25), 24).bitwiseOR(item(j).bitwiseAND(F.lit(_POS))))
+    numbered = lambda s, r: F.transform(F.sequence(s, end(r)), lambda j: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.shiftright(item(j), _BITS), j - s), 1 + _BITS), _BITS).bitwiseOR(item(j).bitwiseAND(F.lit(_POS))))
     df = df.withColumn(t("order"), F.sort_array(F.flatten(F.transform(t("runs"), numbered))))
     bits = 63 - (SLOTS.bit_length() - 1)
     df = df.withColumn(t("slots"), _run_starts(t("order"), bits))
@@ -86,43 +95,55 @@ def likeness(a: str, b: str) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
 
 
-def ranked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id, h, n_chars, copies, rank by (doc_id, h) without a single-task sort, and the number of rows. copies is the number of equal rows."""
-    keys = docs.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n_chars")).groupBy("doc_id", "h", "n_chars").agg(F.count("*").alias("copies"))
-    rows = written(keys.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("m", F.monotonically_increasing_id()), "ranks")
-    part = F.shiftright("m", 33)
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    rank = F.col("ahead") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    return written(rows.withColumn("p", part).join(sizes, "p").select("doc_id", "h", "n_chars", "copies", rank.alias("rank")), "ranks"), rows.count()
-
-
-def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, h, copies, next_id, next_h, n_chars, text, edited_text: the last quarter of the characters replaced by the next document's first as many."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order, n = ranked(docs)
-    follows = order.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("n_chars").alias("p_chars"), F.col("copies").alias("p_copies"), ((F.col("rank") + 1) % max(n, 1)).alias("rank"))
-    links = written(order.select("doc_id", "h", "rank").join(follows, "rank").select("doc_id", "h", "p_id", "p_h", "p_copies", F.floor(F.col("p_chars") / 4).cast("int").alias("need")), "links")
-    texts = docs.withColumn("h", F.xxhash64("text"))
-    if docs.count() > n:
-        texts = texts.dropDuplicates(["doc_id", "h"])
-    left, right = texts.alias("t"), links.alias("l")
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    heads = left.join(right, same("t.doc_id", "l.doc_id") & (F.col("t.h") == F.col("l.h"))).select("p_id", "p_h", "p_copies", F.col("t.doc_id").alias("next_id"), F.col("t.h").alias("next_h"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"))
-    both = texts.join(heads, same("doc_id", "p_id") & (F.col("h") == F.col("p_h")))
-    chars = F.length("text")
-    keep = F.substring(F.col("text"), F.lit(1), chars - F.floor(chars / 4).cast("int"))
-    return both.select("doc_id", "h", F.col("p_copies").alias("copies"), "next_id", "next_h", chars.cast("long").alias("n_chars"), "text", F.concat(keep, "head").alias("edited_text"))
+def _bucket(keys: DataFrame, kind: str, rows: int, size: int) -> Column:
+    """The bucket of (doc_id, h): the number of boundaries up to it, found by halving."""
+    n = max(1, min(BUCKETS, size // BUCKET_BYTES))
+    drawn = keys.where(F.pmod(F.xxhash64("doc_id", "h", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 16 * n / max(rows, 1)))).select("doc_id", "h", "size").collect()
+    drawn.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] if r["doc_id"] is not None else 0, r["h"]))
+    step, total, bounds = sum(r["size"] for r in drawn) / n, 0, []
+    for r in drawn:
+        total += r["size"]
+        if total >= step * (len(bounds) + 1) and len(bounds) < n - 1:
+            bounds.append({"doc_id": r["doc_id"], "h": r["h"]})
+    if not bounds:
+        return F.lit(0)
+    at = F.from_json(F.lit(json.dumps(bounds, default=str)), f"array<struct<doc_id:{kind},h:bigint>>")
+    key = F.struct("doc_id", "h")
+    steps = F.array(*[F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(bounds)) & (F.get(at, lo + s - 1) <= key), lo + s).otherwise(lo))
 
 
 def _compared(docs: DataFrame) -> DataFrame:
-    rows = edited(docs).withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256))
-    rows = fingerprint(fingerprint(rows, "text", "fingerprint"), "edited_text", "edited_fingerprint")
-    rows = written(rows.drop("text", "edited_text"), "fingerprints")
-    release(docs.sparkSession)
-    after = rows.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = rows.join(after, F.col("next_id").eqNullSafe(F.col("i")) & (F.col("next_h") == F.col("g")))
-    return rows.select("copies", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = texts.select("doc_id", "h", (F.octet_length("text") + 64).cast("long").alias("size"))
+    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    repeated = keys.groupBy("doc_id", "h").agg(F.count("*").alias("copies")).where("copies > 1")
+    twice = bool(repeated.head(1))
+    if twice:
+        texts = texts.dropDuplicates(["doc_id", "h"])
+    dealt = texts.withColumn("p", _bucket(keys, kind, rows, size)).repartition("p")
+    own = Window.partitionBy("p").orderBy("doc_id", "h")
+    seen = fingerprint(dealt.sortWithinPartitions("p", "doc_id", "h"), "text", "fingerprint")
+    rows = seen.withColumn("next_text", F.lead("text").over(own)).withColumn("next_fingerprint", F.lead("fingerprint").over(own)).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
+    # The first document of each bucket goes to the bucket before it, that of the first one to the last.
+    heads = dealt.groupBy("p").agg(F.min_by("text", F.struct("doc_id", "h")).alias("text"))
+    order = Window.orderBy("p")
+    before = heads.select("p").withColumn("to", F.coalesce(F.lag("p").over(order), F.max("p").over(Window.partitionBy())))
+    heads = fingerprint(heads.join(before, "p").select(F.col("to").alias("p"), F.col("text").alias("head_text")), "head_text", "head_fingerprint")
+    rows = rows.join(heads, "p", "left")
+    pick = lambda c: F.when(F.col("last"), F.col(f"head_{c}")).otherwise(F.col(f"next_{c}"))
+    n = F.length("text")
+    quarter = F.floor(n / 4).cast("int")
+    rows = rows.select("doc_id", "h", n.cast("long").alias("n_chars"), "fingerprint", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(pick("text"), F.lit(1), quarter)).alias("edited_text"), pick("fingerprint").alias("next_fingerprint"))
+    rows = fingerprint(rows, "edited_text", "edited_fingerprint")
+    rows = rows.select("doc_id", "h", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    if twice:
+        many = repeated.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), "copies")
+        rows = rows.join(many, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").drop("r_id", "r_h")
+    else:
+        rows = rows.withColumn("copies", F.lit(None).cast("long"))
+    return rows.withColumn("copies", F.coalesce("copies", F.lit(1).cast("long"))).drop("h")
 
 
 def compare(docs: DataFrame) -> DataFrame:

@@ -240,6 +240,7 @@ def test_fingerprints_of_short_texts(spark):
     # The same two k-mers in the other order agree in no slot.
     assert len(set(cut[0])) == len(set(cut[1])) == 1 and cut[0][0] != cut[1][0]
     # All pairs of the text, hashed as pairs: every slot is one of them.
+    assert "i" not in "abcdefgh"  # words are the tokens
     mers = {i: [" ".join(w[j : j + 3]) for j in range(len(w) - 2)] for i, w in ((i, x.split()) for i, x in enumerate(texts)) if len(w) > 3}
     pairs = [(i, *a.split(), *b.split()) for i, m in mers.items() for a, b in {(m[x], m[y]) for x in range(len(m)) for y in range(x + 1, len(m))}]
     h = lambda x: "xxhash64({})".format(", ".join(f"xxhash64({c})" for c in x))
@@ -248,6 +249,71 @@ def test_fingerprints_of_short_texts(spark):
     assert all((i, c) in known for i in mers for c in cut[i])
 
 
+def _fingerprints(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    return [x["f"] for x in order_minhash.fingerprint(df, "text", "f").orderBy("i").collect()]
+
+
+def _brute(spark, texts):
+    """Fingerprints from lists of (hash, place) in plain Python; only the hash function is Spark's."""
+    tokens = [re.findall(r"[^\si05I]*[i05I]|[^\si05I]+", t) for t in texts]
+    h = lambda rows, sql: {r: x["h"] for r, x in zip(rows, spark.createDataFrame(rows, ", ".join(f"c{j} {t}" for j, t in enumerate(sql))).selectExpr(f"xxhash64({', '.join(f'c{j}' for j in range(len(sql)))}) as h").collect())}
+    of = h(sorted({(t,) for x in tokens for t in x}), ["string"])
+    mer_keys = [[tuple(of[(t,)] for t in (*x[j : j + 3], *[None] * 3)[:3] if t is not None) for j in range(max(len(x) - 2, min(len(x), 1)))] for x in tokens]
+    mer = {}
+    for n in (1, 2, 3):
+        some = sorted({m for x in mer_keys for m in x if len(m) == n})
+        if some:
+            mer |= h(some, ["long"] * n)
+    numbered, keys = [], set()
+    for x in mer_keys:
+        count, row = {}, []
+        for place, m in enumerate(x):
+            top = (mer[m] % (1 << 64)) >> 32
+            row.append((top, count.setdefault(top, 0), place))
+            count[top] += 1
+        numbered.append(row)
+        keys |= {(a, b) for a, b, _ in row}
+    order = h(sorted(keys), ["long", "int"]) if keys else {}
+    picked = []
+    for x in numbered:
+        e = sorted(((order[a, b] % (1 << 64)) >> 32, place) for a, b, place in x)
+        slots = []
+        for s in range(64):
+            at = next((j for j, (v, _) in enumerate(e) if v >> 26 >= s), 0)
+            slots.append(tuple(sorted((e[at][1], e[(at + 1) % len(e)][1]))) if e else ())
+        picked.append(slots)
+    hex8 = lambda rows, sql: {k: f"{v & 0xFFFFFFFF:08X}" for k, v in h(rows, sql).items()} if rows else {}
+    pair_of = lambda x, pair: tuple(mer[x[p]] for p in pair)
+    digits = hex8(sorted({pair_of(x, pair) for x, slots in zip(mer_keys, picked) if len(x) > 1 for pair in slots}), ["long", "long"])
+    lone = hex8(sorted({(mer[x[0]], -1) for x in mer_keys if len(x) == 1}), ["long", "int"])
+    return ["-" * 512 if not x else lone[mer[x[0]], -1] * 64 if len(x) == 1 else "".join(digits[pair_of(x, pair)] for pair in slots) for x, slots in zip(mer_keys, picked)]
+
+
+def test_fingerprints_against_brute_force(spark):
+    r = random.Random(2)
+    texts = ["", "a", "x y", "it is a tip", *(" ".join(r.choice(["bit", "sin", "a", "tom", "zip5", "lion"]) for _ in range(r.randint(3, 300))) for _ in range(30))]
+    assert _fingerprints(spark, texts) == _brute(spark, texts)
+
+
+def test_fingerprints_follow_edits(spark):
+    """One letter more in a text without spaces, and a longer text, stay alike; other texts and other scripts don't."""
+    r = random.Random(6)
+    dense = "".join(r.choice("abcdefghiklmnoprstu") for _ in range(4000))
+    cjk = "".join(chr(r.randint(0x4E00, 0x9FA0)) for _ in range(3000))
+    spaced = " ".join("".join(r.choice("abcdefghi") for _ in range(5)) for _ in range(60_000))
+    texts = [dense, "x" + dense, dense[:2000] + "q" + dense[2000:], cjk, cjk[:100] + "\u4e01" + cjk[100:], dense[::-1], spaced, spaced[:150_000] + " new " + spaced[150_000:]]
+    f = _fingerprints(spark, texts)
+    like = lambda a, b: sum(f[a][i : i + 8] == f[b][i : i + 8] for i in range(0, 512, 8)) / 64
+    assert min(like(0, 1), like(0, 2), like(3, 4), like(6, 7)) > 0.85 and like(0, 5) == like(0, 3) == 0
+
+
+def test_fingerprints_in_many_buckets(spark, docs, monkeypatch):
+    want = {tuple(r) for r in order_minhash.compare(docs).collect()}
+    monkeypatch.setattr(order_minhash, "BUCKET_BYTES", 2000)
+    assert {tuple(r) for r in order_minhash.compare(docs).collect()} == want and len(want) == 86
+
+
 def test_fingerprints_of_every_row(spark, docs, tmp_path):
     more = docs.unionByName(docs.where("doc_id IS NULL OR doc_id IN (5, 900)"))
     more.write.parquet(f"{tmp_path}/documents.parquet")
