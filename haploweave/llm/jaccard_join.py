@@ -6,10 +6,8 @@ ordered by how common they are (counts of hash buckets over all documents, a tab
 of fixed size) and then by hash, and a set's prefix is its first
 n - ceil(t n) + 1 shingles: sets with Jaccard likeness t or more share a shingle of
 both prefixes. Groups are joined on prefix shingles under the size filter and the
-positional filter (what follows the shared positions must suffice for the overlap), and
-by the count filter: of two sets, the one whose prefix ends first has all shared shingles of
-its prefix in the other's too, so c shared prefix shingles allow an overlap of at most c
-plus what is behind the prefix.
+positional filter: sets whose overlap must be o at least share not one only but l of the
+first n - o + l shingles of each, as all but o - l of the set that ends first are among these.
 
 Only components are wanted, so candidates are verified in two passes. First every
 group is held against one partner at most, of the groups that have a shared shingle earliest the one with
@@ -42,6 +40,8 @@ from .textblock import blocks, mix, shingles, trim, words
 
 #: Hash buckets of the shingle counts, slices in which they are summed, and how many summands meet.
 BUCKETS, SLICES, MEET = 1 << 20, 64, 64
+#: Shingles of a set for each further shared one that the count filter asks for.
+EXTRA = 64
 #: Partners, and shingles of partners, that are verified together against one text.
 FAN, WEIGHT = 64, 1 << 19
 
@@ -184,9 +184,13 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
         """The smallest overlap of sets that link."""
         return F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
 
+    def shares(n1: Column, n2: Column) -> Column:
+        """How many of their first n - least + shares shingles sets that link have in common: one, and more for larger sets, as far as prefixes of n - ceil(t n) + 1 show."""
+        return F.least(1 + F.floor(F.least(n1, n2) / F.lit(EXTRA)), least(n1, n2) - F.ceil(F.lit(percent) * F.greatest(n1, n2) / F.lit(100)) + 1)
+
     def fits(at1: str, at2: str) -> Column:
         n1, n2 = size(at1), size(at2)
-        return F.least(n1 - place(at1), n2 - place(at2)) >= least(n1, n2)
+        return F.least(n1 - place(at1), n2 - place(at2)) >= least(n1, n2) - shares(n1, n2) + 1
 
     def alike(n1: Column, n2: Column) -> Column:
         return 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
@@ -216,9 +220,9 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
     drop(shared)
     x, y = located.alias("x"), located.alias("y")
     across = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.hi") != F.col("y.hi")) | (F.col("x.lo") != F.col("x.hi"))
-    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & across & alike(size("x.at"), size("y.at")))
-    groups = groups.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.count("*").alias("c"), F.max(fits("x.at", "y.at")).alias("ok"), F.first(size("x.at")).alias("n"), F.first(size("y.at")).alias("m"))
-    groups = groups.where(F.col("ok") & (F.col("c") >= enough(F.col("n"), F.col("m")))).select("ga", "gb", F.col("m").alias("w"))
+    groups = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & across & alike(size("x.at"), size("y.at")) & fits("x.at", "y.at"))
+    groups = groups.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.count("*").alias("c"), F.first(size("x.at")).alias("n"), F.first(size("y.at")).alias("m"))
+    groups = groups.where(F.col("c") >= shares(F.col("n"), F.col("m"))).select("ga", "gb", F.col("m").alias("w"))
     groups = groups.unionByName(spread.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")).join(members.select(F.col("gid").alias("ga"), F.col("n").alias("w")).distinct(), "ga").select("ga", "gb", "w"))
     side = lambda g, r: members.select(F.col("gid").alias(g), F.col("rep").alias(r))
     pairs = groups.join(side("ga", "ra"), "ga", "left").join(side("gb", "rb"), "gb", "left").select("ga", "gb", F.coalesce("ra", "ga").alias("a"), F.coalesce("rb", "gb").alias("b"), "w")
