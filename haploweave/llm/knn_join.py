@@ -1,27 +1,34 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Pivots drawn from the data cut it into cells (nearest pivot); queries are dealt to
-the same cells. From summaries alone - each cell's radius, its k + 1 smallest
-distances to the pivot, the radius of its queries - follow, for the queries of
+Pivots drawn from the data, more of them for a larger table, cut it into cells (nearest pivot); queries are dealt to
+the same cells. From summaries alone - the k + 1 ids nearest to each pivot with their
+distances, the radius of a cell's queries - follow, for the queries of
 cell i, a lower bound of the k-th best score and, for every data cell j, the least
 distance from pivot j from which a vector can still reach it:
 
     q.x <= p_i.p_j + r_i |p_j| + f (|p_i| + r_i)
 
-(r_i: radius of the queries of i, f: distance of x from p_j). Only such vectors are
+(r_i: radius of the queries of i, f: distance of x from p_j). The k-th best score is
+taken from the bounds of k + 1 different ids, as one of them may be the query's own.
+Only such vectors are
 sent to the query blocks of cell i. A block holds up to ``QUERIES`` queries, its
-data are dealt to slices by id, each slice is solved exactly, and the slices'
+data are dealt to slices, each slice is solved exactly, and the slices'
 best k are merged. In high dimensions the bounds let most vectors through; then
 every block still meets every vector just once, slice by slice.
 
 Vectors are integer arrays. Null vectors, those with null components, and empty
 ones take no part; only vectors of equal length meet; ties go to the smaller id; a
-query meets every row but those of its own id; repeated rows appear as often as
-they occur; queries with fewer candidates return all; extra columns are ignored.
+query meets every row but those of its own id; repeated rows are candidates as often as
+they occur; a query row that occurs several times is one query, rows of one id with different
+vectors are queries of their own; queries with fewer candidates return all; scores beyond
+64 bits are cut off at the largest and smallest long; extra columns are ignored; without
+vectors or queries the result is empty.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-PIVOTS, QUERIES, SLICE = 32, 4096, 20_000
+#: Least and greatest number of pivots, queries of a block, vectors of a slice.
+PIVOTS, QUERIES, SLICE = (16, 512), 4096, 20_000
 
 
 def quantise(column: str, scale: int = 1024) -> Column:
@@ -45,10 +53,15 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: through floating point where every sum fits its mantissa."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+    """Exact integer inner products: through floating point where every sum fits its mantissa, through big integers where one may not fit a long."""
+    x, y = a.astype(float), b.astype(float)
+    most = np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * a.shape[1]
+    if most < 2**53:
+        return (x @ y.T).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    low, high = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
+    return np.clip(a.astype(object) @ b.T.astype(object), low, high).astype(np.int64)
 
 
 def _nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +71,17 @@ def _nearest(v: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt(((v - p[cell]) ** 2).sum(1))
 
 
-def _bounds(pivots: np.ndarray, near: dict[int, list[float]], radius: dict[int, float], k: int) -> np.ndarray:
-    """least[i, j]: vectors of cell j nearer to their pivot than this cannot be among the k best of a query of cell i; inf where i has no queries."""
+def _bounds(pivots: np.ndarray, near: list[tuple[int, object, float]], radius: dict[int, float], k: int) -> np.ndarray:
+    """least[i, j]: vectors of cell j nearer to their pivot than this cannot be among the k best of a query of cell i; inf where i has no queries. near: (cell, id, distance)."""
     p = pivots.astype(float)
     norm, dots = np.sqrt((p**2).sum(1)), p @ p.T
     least = np.full((len(p), len(p)), np.inf)
     for i, r in radius.items():
-        low = [dots[i, j] - r * norm[j] - f * (norm[i] + r) for j, fs in near.items() for f in fs]
-        floor = sorted(low, reverse=True)[k] if len(low) > k else -np.inf
-        slack = 1e-9 * (1 + abs(floor) if np.isfinite(floor) else 1) + 1e-6
+        low: dict = {}
+        for j, x, f in near:
+            low[x] = max(low.get(x, -np.inf), dots[i, j] - r * norm[j] - f * (norm[i] + r))
+        floor = sorted(low.values(), reverse=True)[k] if len(low) > k else -np.inf
+        slack = 1e-9 * (1 + abs(floor) + norm[i] * norm.max() if np.isfinite(floor) else 1) + 1e-6
         least[i] = (floor - dots[i] - r * norm) / max(norm[i] + r, 1e-12) - slack
     return least
 
@@ -76,7 +91,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("vec_id").isNotNull() & ~F.coalesce(F.exists("v", lambda x: x.isNull()), F.lit(False))
     vectors = written(vectors.where(ok).select("vec_id", "v"), "vectors")
-    queries = written(queries.where(ok).select("vec_id", "v"), "queries")
+    queries = written(queries.where(ok).select("vec_id", "v").distinct().withColumn("qh", F.xxhash64("v")), "queries")
     kind = vectors.schema["vec_id"].dataType.simpleString()
     dims = [r["d"] for r in queries.select(F.size("v").alias("d")).distinct().collect()]
     found = [_one_length(spark, vectors.where(F.size("v") == d), queries.where(F.size("v") == d), k, kind) for d in sorted(dims)]
@@ -85,28 +100,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
     best = found[0]
     for more in found[1:]:
         best = best.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _one_length(spark, vectors: DataFrame, queries: DataFrame, k: int, kind: str) -> DataFrame:
-    drawn = vectors.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(PIVOTS).collect()
+    rows = vectors.count()
+    some = min(max(math.isqrt(rows) // 4, PIVOTS[0]), PIVOTS[1])
+    drawn = vectors.dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(some).collect()
     pivots = np.unique(np.array([r["v"] for r in drawn], np.int64).reshape(len(drawn), -1), axis=0) if drawn else np.zeros((0, 0), np.int64)
     if not len(pivots):
-        return spark.createDataFrame([], f"query_id {kind}, vec_id {kind}, score long")
+        return spark.createDataFrame([], f"query_id {kind}, qh long, vec_id {kind}, score long")
 
     def place(batches):
         for batch in batches:
             cell, far = _nearest(_matrix(batch.column(1)), pivots) if batch.num_rows else (np.zeros(0, int), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], ["vec_id", "v", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], [*batch.schema.names, "cell", "far"])
 
-    schema = f"vec_id {kind}, v array<long>, cell int, far double"
-    data = written(vectors.mapInArrow(place, schema), "cells")
-    asked = written(queries.mapInArrow(place, schema), "asked")
+    data = written(vectors.mapInArrow(place, f"vec_id {kind}, v array<long>, cell int, far double"), "cells")
+    asked = written(queries.mapInArrow(place, f"vec_id {kind}, v array<long>, qh long, cell int, far double"), "asked")
     order = Window.partitionBy("cell").orderBy("far")
-    near: dict[int, list[float]] = {}
-    for r in data.select("cell", "far", F.row_number().over(order).alias("n")).where(F.col("n") <= k + 1).collect():
-        near.setdefault(r["cell"], []).append(r["far"])
+    near = [(r["cell"], r["vec_id"], r["far"]) for r in data.groupBy("cell", "vec_id").agg(F.min("far").alias("far")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).collect()]
     groups = {r["cell"]: (r["r"], r["n"]) for r in asked.groupBy("cell").agg(F.max("far").alias("r"), F.count("*").alias("n")).collect()}
     least = _bounds(pivots, near, {i: r for i, (r, _) in groups.items()}, k)
     # Query blocks: neighbouring small cells share one, a large cell is split.
@@ -123,8 +137,8 @@ def _one_length(spark, vectors: DataFrame, queries: DataFrame, k: int, kind: str
             limits[-1] = np.minimum(limits[-1], least[i])
             room -= n
     table = np.array(limits)
-    slices = max(12, -(-data.count() // SLICE))
-    slot = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")
+    slices = max(12, -(-rows // SLICE))
+    slot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices)).cast("int")
 
     def replicate(batches):
         for batch in batches:
@@ -136,13 +150,13 @@ def _one_length(spark, vectors: DataFrame, queries: DataFrame, k: int, kind: str
     spread = data.withColumn("slice", slot).mapInArrow(replicate, f"vec_id {kind}, v array<long>, block int, slice int")
     first = F.create_map(*[F.lit(x) for i, b in block_of.items() for x in (i, b[0])])[F.col("cell")]
     split = F.create_map(*[F.lit(x) for i, b in block_of.items() for x in (i, b[1])])[F.col("cell")]
-    asked = asked.withColumn("block", (first + F.pmod(F.xxhash64("vec_id"), split)).cast("int")).select("vec_id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    asked = asked.withColumn("block", (first + F.pmod(F.xxhash64("vec_id", "qh"), split)).cast("int")).select("vec_id", "v", "qh", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", left.schema.field("vec_id").type), ("vec_id", left.schema.field("vec_id").type), ("score", pa.int64())])
+        schema = pa.schema([("query_id", left.schema.field("vec_id").type), ("qh", pa.int64()), ("vec_id", left.schema.field("vec_id").type), ("score", pa.int64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        q_ids, ids = np.asarray(left.column("vec_id")), np.asarray(right.column("vec_id"))
+        q_ids, qh, ids = np.asarray(left.column("vec_id")), np.asarray(left.column("qh")), np.asarray(right.column("vec_id"))
         q, x = _matrix(left.column("v")), _matrix(right.column("v"))
         out = []
         for lo in range(0, len(q_ids), 256):
@@ -156,7 +170,7 @@ def _one_length(spark, vectors: DataFrame, queries: DataFrame, k: int, kind: str
             row, col = row[best], col[best]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
             row, col = row[rank < k], col[rank < k]
-            out.append((q_ids[lo + row], ids[col], s[row, col]))
-        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], schema=schema)
+            out.append((q_ids[lo + row], qh[lo + row], ids[col], s[row, col]))
+        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(4)], schema=schema)
 
-    return asked.groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInArrow(solve, f"query_id {kind}, vec_id {kind}, score long")
+    return asked.groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInArrow(solve, f"query_id {kind}, qh long, vec_id {kind}, score long")
