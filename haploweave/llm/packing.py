@@ -13,7 +13,8 @@ configurations that depends on capacity and ``steps``, not on the corpus; only
 they pass through the driver. Pieces are numbered within their length in salted
 groups, so a length that a third of all pieces have is spread over ``SALTS`` tasks.
 
-Defined cases: null and empty texts are the end token alone; repeated rows and
+Defined cases: a special token's string in a text is its id, and what is around it is encoded
+apart; null and empty texts are the end token alone; repeated rows and
 ids are packed one by one; null ids are kept; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -21,6 +22,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,9 +52,12 @@ class Encoder:
     new ones are encoded in one string and told apart by the widths of the tokens. Texts with runs of spaces are encoded in one go.
     """
 
-    def __init__(self, vocabulary: str, pattern: str, keep: int = 300_000):
+    def __init__(self, vocabulary: str, pattern: str, specials: dict[str, int] | None = None, keep: int = 300_000):
         import tiktoken
 
+        self.specials = {s.encode(): i for s, i in (specials or {}).items()}
+        self.special = re.compile(b"|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or b"(?!)")
+
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -80,6 +85,27 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block in a row, and each text's bounds among them."""
+        found = [(m.start(), m.end(), self.specials[m.group()]) for m in self.special.finditer(data.tobytes())] if self.specials else []
+        row = lambda i: int(np.searchsorted(offs, i, "right"))
+        if any(row(s) != row(e - 1) for s, e, _ in found):  # strings over the end of a text: look at each text
+            found = [(o + m.start(), o + m.end(), self.specials[m.group()]) for o, e in zip(offs, offs[1:]) for m in self.special.finditer(data[o:e].tobytes())]
+        if not found:
+            return self._plain(data, offs)
+        # The stretches between specials are texts of their own; the ids of specials go between them.
+        start, end, ids_of = (np.asarray(x) for x in zip(*found))
+        gone = np.zeros(len(data), bool)
+        for s, e, _ in found:
+            gone[s:e] = True
+        left = lambda i: i - np.append(0, np.cumsum(gone))[i]
+        order = np.argsort(np.concatenate([offs, start]), kind="stable")
+        cuts = left(np.concatenate([offs, start]))[order]
+        is_special = order >= len(offs)
+        # A special at the start of a text follows the text's bound.
+        ids, to = self._plain(data[~gone], cuts)
+        before = np.cumsum(is_special) - is_special
+        return np.insert(ids, to[is_special], ids_of[order[is_special] - len(offs)]).astype(np.uint32), (to + before)[~is_special]
+
+    def _plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(data), len(offs) - 1
         if not n:
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
@@ -115,21 +141,22 @@ class Encoder:
         return out, to[np.searchsorted(starts, offs)]
 
 
-def encoder(vocabulary: str, pattern: str) -> Encoder:
+def encoder(vocabulary: str, pattern: str, specials: dict[str, int] | None = None) -> Encoder:
     """One per worker process."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary, pattern)
-    return _ENCODERS[vocabulary]
+    key = vocabulary, pattern, tuple((specials or {}).items())
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, pattern, specials)
+    return _ENCODERS[key]
 
 
-def pieces(docs: DataFrame, *, vocabulary: str, pattern: str, end: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, vocabulary: str, pattern: str, specials: dict[str, int] | None = None, end: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids. A document of more than ``capacity`` ids is cut so that only its first piece is shorter."""
     kind = docs.schema["doc_id"].dataType
     bound_batches(docs.sparkSession)
     stop = np.asarray([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern, specials)
         for batch in batches:
             of, piece, start, length, crc, ids = [], [], [], [], [], []
             for lo, _, data, offs in blocks(batch.column(1)):
@@ -296,6 +323,6 @@ def pack(parts: DataFrame, *, capacity: int = 1024, **options) -> DataFrame:
     return numbered.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, end: int = 2, capacity: int = 1024, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, *, vocabulary: str, pattern: str, specials: dict[str, int] | None = None, end: int = 2, capacity: int = 1024, **options) -> DataFrame:
     """Tokenise, cut and pack whole documents."""
-    return pack(written(pieces(docs, vocabulary=vocabulary, pattern=pattern, end=end, capacity=capacity), "pieces"), capacity=capacity, **options)
+    return pack(written(pieces(docs, vocabulary=vocabulary, pattern=pattern, specials=specials, end=end, capacity=capacity), "pieces"), capacity=capacity, **options)

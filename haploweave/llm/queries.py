@@ -15,7 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tokenizer_files() -> dict[str, str]:
     import public_tokenizers
 
-    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    # The named tokenizer file has one special token; the ranks are the same vocabulary without it.
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "specials": {"<|endoftext|>": 50256}}
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,8 @@ FROM f JOIN p USING (doc_id, n_bytes, copy, depth) JOIN s ON s.depth = f.depth A
     "op10_voronoi_top_k": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, q.v AS qv, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM q JOIN v x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }

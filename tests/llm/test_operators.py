@@ -126,6 +126,23 @@ def test_packing(spark, docs, empty):
         assert list(ids) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t, end = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = ["plain text", f"{end}", f"a  {end}  b", f"{end}{end} it's", f"x <|endof", f"text|> y {end}", "", f"é{end}\n\n{end} ", "<|endoftext |>", f"{end} tail"]
+    raw = [x.encode() for x in texts]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    ids, to = packing.encoder(**queries.tokenizer_files())(np.frombuffer(b"".join(raw), np.uint8), offs)
+    assert [list(ids[a:b]) for a, b in zip(to, to[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    long = f"word {end} " * 900
+    got = packing.pack_documents(spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string"), **queries.tokenizer_files()).orderBy("doc_id", "piece").collect()
+    want = t.encode(long, add_special_tokens=False).ids + [2]
+    assert [(r["start"], r["ids_crc32"]) for r in got if r["doc_id"] == 1] == [(r["start"], zlib.crc32(np.asarray(want[r["start"] : r["start"] + r["length"]], "<u4").tobytes())) for r in got if r["doc_id"] == 1] and sum(r["length"] for r in got) == len(want) + 1
+
+
 def _sets(text):
     w = WORDS.findall((text or "").lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -457,6 +474,24 @@ def test_top_k(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_repeated_ids(spark):
+    """A query's id with many rows, one of them likely a pivot, repeated queries, an id with two vectors, nothing to find."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 2000)]
+    rows += [(0, [5.0] * 8)] * 30 + [(100, rows[99][1])] * 6 + [(200, [1.0] + [0.0] * 7)] + [(7, rows[6][1])] * 4
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, v string").select("vec_id", knn_join.quantise("embedding").alias("v"))
+    got = [tuple(r) for r in knn_join.top_k(df, df.where("vec_id % 100 = 0")).collect()]
+    v = [(i, np.floor(1024 * np.asarray(e, np.float32).astype(float)).astype(int)) for i, e in rows]
+    want = []
+    for q, e in sorted({(i, tuple(x)) for i, x in v if i % 100 == 0}):
+        best = sorted((-int(np.dot(e, x)), i) for i, x in v if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want) and len(got) == 21 * 10
+    assert knn_join.top_k(df.limit(0), df).count() == knn_join.top_k(df, df.limit(0)).count() == 0
+    big = spark.createDataFrame([(0, [2**62, 2**62]), (1, [2**62, 2**62]), (2, [-(2**62), 5])], "vec_id long, v array<long>")
+    assert [r["score"] for r in knn_join.top_k(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [2**63 - 1, 1 - 2**63]
+
+
 def test_lookup():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 60, 5000, dtype=np.uint64))
     find = Lookup(keys).find
