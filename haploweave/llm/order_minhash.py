@@ -1,6 +1,6 @@
 """Order MinHash fingerprints in DataFrame expressions.
 
-A text is cut by its content: after white space and behind every character of ``CUT`` (some
+A text is cut by its content: after white space and behind every character of a fixed choice (some
 common letters and digits, and stretches of the other scripts). So a letter put in changes
 one or two tokens, with or without spaces, and never shifts the cuts behind it. The text's
 k-mers are the ``K`` consecutive tokens from each place, numbered
@@ -36,10 +36,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS, K = 64, 3
-BUCKETS, BUCKET_BYTES = 1 << 16, 4 << 20
-#: Characters behind which a text is cut, about one in twelve of usual text; beyond Latin, 32 code points of every 256.
-CUT = "iI05" + "".join(f"\\u{x:04X}-\\u{x + 31:04X}" for x in range(0x0400, 0xD800, 0x100))
-_WORDS = rf"[^\s{CUT}]*[{CUT}]|[^\s{CUT}]+"
+BUCKETS, BUCKET_BYTES = 1 << 16, 1 << 20
+#: Characters behind which a text is cut: of Latin and Greek about one in twelve; of the scripts beyond 32 code points of every 256.
+_CUT, _OTHER = "iI05", "\\u0400-\\uD7FF"
+_CUT_OTHER = "".join(f"\\u{x:04X}-\\u{x + 31:04X}" for x in range(0x0400, 0xD800, 0x100))
+#: Other characters with the cut behind them, or a cut alone. Long classes are slow, so texts of Latin and Greek have a pattern of their own that finds the same.
+_LATIN = rf"[^\s{_CUT}]++[{_CUT}]?|[{_CUT}]"
+_WORDS = rf"[^\s{_CUT}{_OTHER}]++[{_CUT}]?|[{_CUT}]|(?=[{_OTHER}])(?:[{_OTHER}&&[^{_CUT_OTHER}]]++[{_CUT_OTHER}]?|[{_CUT_OTHER}])"
 _BITS = 31
 _POS = (1 << _BITS) - 1
 
@@ -54,10 +57,16 @@ def _run_starts(sorted_longs: str, shift: int) -> Column:
     return F.when(F.size(sorted_longs) > 0, F.filter(F.sequence(F.lit(0), F.size(sorted_longs) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))).otherwise(_empty("int"))
 
 
+def tokens(text: str) -> Column:
+    """The tokens of a text in order."""
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    return F.when(F.col(text).rlike(f"[{_OTHER}]"), found(_WORDS)).otherwise(found(_LATIN))
+
+
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the fingerprint of column ``text`` as column ``out``."""
     t = lambda name: f"_{out}_{name}"
-    df = df.withColumn(t("tok"), F.transform(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)), lambda x: F.xxhash64(x)))
+    df = df.withColumn(t("tok"), F.transform(tokens(text), lambda x: F.xxhash64(x)))
     n = F.greatest(F.size(t("tok")) - (K - 1), F.least(F.size(t("tok")), F.lit(1)))
     df = df.withColumn(t("mer"), F.when(F.size(t("tok")) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(F.col(t("tok")), i + j) for j in range(K)]))).otherwise(_empty("bigint")))
     df = df.withColumn(t("sorted"), F.sort_array(F.transform(t("mer"), lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 1 + _BITS), _BITS).bitwiseOR(i.cast("long")))))
@@ -122,7 +131,7 @@ def _compared(docs: DataFrame) -> DataFrame:
     twice = bool(repeated.head(1))
     if twice:
         texts = texts.dropDuplicates(["doc_id", "h"])
-    dealt = texts.withColumn("p", _bucket(keys, kind, rows, size)).repartition("p")
+    dealt = texts.withColumn("p", F.coalesce(_bucket(keys, kind, rows, size), F.lit(0))).repartition("p")  # never null, so that no filter keeps the shuffle from being reused
     own = Window.partitionBy("p").orderBy("doc_id", "h")
     seen = fingerprint(dealt.sortWithinPartitions("p", "doc_id", "h"), "text", "fingerprint")
     rows = seen.withColumn("next_text", F.lead("text").over(own)).withColumn("next_fingerprint", F.lead("fingerprint").over(own)).withColumn("last", F.lead(F.lit(1)).over(own).isNull())
