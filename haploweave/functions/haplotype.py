@@ -91,22 +91,16 @@ def choose(mode: str, spec: Spec, alleles: list[str], rlen: int, gt: Gt | None,
 
 
 def _pick(spec: Spec, alleles: list[str], rlen: int, gt: Gt, absent: tuple) -> tuple[int | None, str | None]:
-    calls = [a for a, _ in gt]
-    differs = next((i for i, a in enumerate(calls) if a is not None and a != calls[0]), len(calls))
-    if None in calls[: differs + 1]:
+    """One allele of a genotype. Of different ones: by length, ties to the preferred kind and then to the first called; without a length the first ALT, if that is preferred, else REF."""
+    calls = list(dict.fromkeys(a for a, _ in gt))
+    if None in calls[:2]:
         return absent
-    if differs == len(calls):
+    if len(calls) == 1:
         return calls[0], None
-    chosen, length = 0, 0
-    for a in (a for a in calls if a is not None):
-        if a >= len(alleles):
-            raise BrokenVcf
-        size = len(alleles[a]) if a else rlen
-        preferred = ("ref" in spec.prefer and a == 0) or ("alt" in spec.prefer and chosen == 0)
-        if spec.prefer & {"long", "short"}:
-            better = (length == 0) or (size == length and preferred) or ("long" in spec.prefer and size > length) or ("short" in spec.prefer and size < length)
-        else:
-            better = preferred
-        if better:
-            chosen, length = a, size
-    return chosen, None
+    called = [a for a in calls if a is not None]
+    if max(called) >= len(alleles):
+        raise BrokenVcf
+    if spec.prefer & {"long", "short"}:
+        sign, disliked = -1 if "long" in spec.prefer else 1, lambda a: (a == 0) != ("ref" in spec.prefer)
+        return min(called, key=lambda a: (sign * (len(alleles[a]) if a else rlen), disliked(a))), None
+    return next((a for a in called if a and "alt" in spec.prefer), 0), None

@@ -24,9 +24,9 @@ def region_records(regions: DataFrame, variants: DataFrame, contigs: DataFrame,
     """(rid, records, lane): the records of each region in order of position and file; regions without any are absent."""
     named = alias_contigs(regions, contigs).where("vcf_contig IS NOT NULL").select("rid", "vcf_key", F.col("vcf_contig").alias("contig"), "beg", "fin")
     hits = range_join(named, variants, ["vcf_key", "contig"], mode=mode)
-    lanes = plan_regions(with_ops(hits.select("rid", "alleles", "rlen")), ["rid"]).select("rid", "lane")
     item = F.struct("pos", "rec_no", "rlen", "alleles", "var_is_ref", "gt")
-    return hits.groupBy("rid").agg(F.array_sort(F.collect_list(item)).alias("records")).join(lanes, "rid")
+    planned = plan_regions(with_ops(hits), ["rid"], F.array_sort(F.collect_list(item)).alias("records"))
+    return planned.select("rid", "records", "lane")
 
 
 def run(tasks: DataFrame, reference: DataFrame, variants: DataFrame, contigs: DataFrame, samples: DataFrame, keys: DataFrame, options: Options, *, overlap: int = 0, mask: DataFrame | None = None) -> DataFrame:
@@ -41,6 +41,9 @@ def run(tasks: DataFrame, reference: DataFrame, variants: DataFrame, contigs: Da
         base = base.join(near.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "ref_end"))).alias("mask")), "rid", "left")
     else:
         base = base.withColumn("mask", F.lit(None).cast("array<struct<pos:long,ref_end:long>>"))
+    if options.mask_with not in ("uc", "lc"):  # a record under a letter mask leaves the region without a fast lane
+        under = F.exists("records", lambda r: F.exists("mask", lambda m: (m["pos"] <= r["pos"] + r["rlen"] - 1) & (m["ref_end"] >= r["pos"])))
+        base = base.withColumn("lane", F.when(under, "FallbackStateMachine").otherwise(F.col("lane")))
     base = base.join(keys.select("vcf_key").distinct().withColumn("known", F.lit(True)), "vcf_key", "left")
     base = base.withColumn("error0", F.when(F.col("known").isNull(), F.concat(F.lit("unknown vcf_key: "), F.col("vcf_key"))).when(F.col("start") < 1, F.concat(F.lit("ref fetch failed: 1-based start "), F.col("start").cast("string"), F.lit(" < 1"))).when(F.col("slice").isNull(), F.concat(F.lit("ref fetch failed: no bases at "), F.col("chr"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))))
 

@@ -12,12 +12,13 @@ def lane_of(n: Column, fallback: Column, same: Column, edit: Column) -> Column:
 
 
 def record_lane(kind: Column, flags: Column) -> Column:
-    """same, edit or fallback of one classified record."""
-    return F.when(kind.isin("RefOnly") | flags["all_same_len"], "same").when(flags["symbolic"] & (kind != "SymbolicDel"), "fallback").when(flags["star"], "fallback").when(flags["all_fast"] | kind.isin("SimpleIndel"), "edit").otherwise("fallback")
+    """same, edit or fallback of one classified record. A simple indel that needs a replacement has no fast lane."""
+    odd = (flags["symbolic"] & (kind != "SymbolicDel")) | flags["star"]
+    return F.when(odd, "fallback").when((kind == "RefOnly") | flags["all_same_len"], "same").when(flags["all_fast"], "edit").otherwise("fallback")
 
 
-def plan_regions(records: DataFrame, by: list[str], masked: Column | None = None) -> DataFrame:
-    """records: classified, one row per region and record. masked: the record touches a letter mask."""
-    lane = F.when(masked, "fallback").otherwise(record_lane(F.col("kind"), F.col("flags"))) if masked is not None else record_lane(F.col("kind"), F.col("flags"))
+def plan_regions(records: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """records: classified, one row per region and record. more: further aggregates of a region's records."""
+    lane = record_lane(F.col("kind"), F.col("flags"))
     count = lambda x: F.count_if(lane == x)
-    return records.groupBy(*by).agg(F.count("*").alias("n"), count("fallback").alias("n_fallback"), count("same").alias("n_same"), count("edit").alias("n_edit")).withColumn("lane", lane_of(F.col("n"), F.col("n_fallback"), F.col("n_same"), F.col("n_edit")))
+    return records.groupBy(*by).agg(F.count("*").alias("n"), count("fallback").alias("n_fallback"), count("same").alias("n_same"), count("edit").alias("n_edit"), *more).withColumn("lane", lane_of(F.col("n"), F.col("n_fallback"), F.col("n_same"), F.col("n_edit")))

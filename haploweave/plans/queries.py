@@ -277,7 +277,7 @@ def variant_types(spark, d):
     return _alleles(spark, d).select("id", F.col("alleles")[0].alias("ref"), F.posexplode(F.slice("alleles", 2, 99)).alias("i", "alt")).select("id", (F.col("i") + 1).cast("long").alias("alt_no"), classify.type_of(F.col("ref"), F.col("alt")).alias("kind"))
 
 
-@_register("lane_plan", _ALLELES + """, l AS (SELECT id % 50 AS region, CASE WHEN kind = 'RefOnly' OR all_same_len THEN 's' WHEN symbolic AND kind <> 'SymbolicDel' THEN 'f' WHEN star THEN 'f' WHEN all_fast OR kind = 'SimpleIndel' THEN 'e' ELSE 'f' END AS l FROM q),
+@_register("lane_plan", _ALLELES + """, l AS (SELECT id % 50 AS region, CASE WHEN symbolic AND kind <> 'SymbolicDel' THEN 'f' WHEN star THEN 'f' WHEN kind = 'RefOnly' OR all_same_len THEN 's' WHEN all_fast THEN 'e' ELSE 'f' END AS l FROM q),
 g AS (SELECT region, count(*) AS n, count(*) FILTER (l = 'f') AS n_fallback, count(*) FILTER (l = 's') AS n_same, count(*) FILTER (l = 'e') AS n_edit FROM l GROUP BY region)
 SELECT *, CASE WHEN n_fallback > 0 THEN 'FallbackStateMachine' WHEN n_edit = 0 THEN 'SameLenOnly' WHEN n_same = 0 THEN 'NormalizedEditScript' ELSE 'MixedSimpleEdits' END AS lane FROM g""")
 def lane_plan(spark, d):
