@@ -112,9 +112,10 @@ def fit(docs: DataFrame, *, folds: int = 3, held: int = 1, max_bytes: int = 1_50
     """Learn from text and non-null lang of rows outside the held-out fold.
 
     ``max_bytes`` bounds the sample of a language: rows are drawn by a hash of the id at the rate that
-    gives about that many bytes, whole texts each, none longer than an eighth of the bound.
+    gives about that many bytes; of a text longer than an eighth of the bound in bytes, the first
+    ``max_bytes // 32`` characters are learned, so that a language of long texts only is learned too.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(0)) != held)).select("doc_id", "lang", "text", F.octet_length("text").alias("_size")).where(F.col("_size") <= max_bytes // 8)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(0)) != held)).select("doc_id", "lang", F.when(F.octet_length("text") <= max_bytes // 8, F.col("text")).otherwise(F.substring("text", 1, max_bytes // 32)).alias("text")).withColumn("_size", F.octet_length("text"))
     total = {r["lang"]: r["b"] for r in rows.groupBy("lang").agg(F.sum("_size").alias("b")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.lit(0.0)
