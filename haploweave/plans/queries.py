@@ -1,15 +1,12 @@
 """Registered queries: each applies an operator to a genome derived from the TPC-H-like tables, with the DuckDB SQL of the same result.
 
-Contig c (0 to 4) has 1500 bases; base p of it is letter (p*p + 3p + c) % 4 of ACGT.
-Regions come from nation, variants from lineitem, masks from supplier, genotypes from position and sample.
-
-These queries read the lineitem rows that their SQL keeps, one in eleven. Every query over variants has a twin
-``all_rows_...`` over all of them, on a genome long enough to give each (order, line) a base of its own.
+Contig c (0 to 4) is long enough to give each (order, line) a base of its own; base p of it is letter (p*p + 3p + c) % 4 of ACGT.
+Regions cover the contigs, every lineitem row is in a variant, masks come from supplier, genotypes from position and sample.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +19,7 @@ from ..plans import planner
 from ..sources import fasta
 from ..sources.vcf import decode_gt
 
-LENGTH, TILE = 1500, 128
+TILE, WIDTH = 128, 60
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -37,7 +34,7 @@ def _register(name: str, sql: str):
 
 
 class Tables:
-    indel_sites, deleted = "pos % 16 = 3", "true"
+    """Contig by supplier, base 8 * order + line. Rows of one base make one record, in which each of them counts; with indels its k says insertion, deletion or substitution, and neighbours overlap."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -48,26 +45,34 @@ class Tables:
     def letter(self, x: str) -> str:
         return f"substring('ACGT', cast({x} as int) + 1, 1)"
 
+    @cached_property
+    def windows(self) -> int:
+        """Regions of one contig."""
+        return self.read("lineitem").agg(F.expr(f"(coalesce(max(8 * l_orderkey + l_linenumber), -1) + {WIDTH}) div {WIDTH}")).first()[0]
+
     def reference(self, tile: int = TILE) -> DataFrame:
-        body = self.spark.range(5).selectExpr("cast(id as string) as contig", f"array_join(transform(sequence(0L, {LENGTH - 1}L), p -> {self.letter('(p*p + 3*p + id) % 4')}), '') as body")
-        return fasta.tiles_from(body, "contig", "body", tile)
+        length = WIDTH * self.windows
+        n = -(-length // tile)
+        rows = self.spark.range(5 * n).selectExpr(f"id div {n} as c", f"cast(id % {n} as int) as tile", f"id % {n} * {tile} as tile_start")
+        bases = f"array_join(transform(sequence(tile_start, least(tile_start + {tile}, {length}L) - 1), p -> {self.letter('(p*p + 3*p + c) % 4')}), '')"
+        return rows.selectExpr("cast(c as string) as contig", f"{length}L as contig_len", "tile", "tile_start", f"{bases} as bases")
 
     def regions(self) -> DataFrame:
-        return self.read("nation").selectExpr("cast(n_nationkey as bigint) as rid", "cast(n_nationkey % 5 as string) as contig", "cast(40 * n_nationkey as bigint) as beg", "cast(40 * n_nationkey + 59 as bigint) as fin")
+        n = self.windows
+        return self.spark.range(5 * n).selectExpr("id as rid", f"cast(id div {n} as string) as contig", f"{WIDTH} * (id % {n}) as beg", f"{WIDTH} * (id % {n}) + {WIDTH - 1} as fin")
 
     def sites(self) -> DataFrame:
-        """c, pos, k: one substitution per position."""
-        return self.read("lineitem").where("l_partkey % 11 = 0").groupBy(F.expr("cast(l_suppkey % 5 as bigint)").alias("c"), F.expr("cast(l_orderkey % 1500 as bigint)").alias("pos")).agg(F.min(F.expr("1 + l_orderkey % 3")).cast("bigint").alias("k"))
+        """c, pos, k: one record per position."""
+        return self.read("lineitem").groupBy(F.expr("cast(l_suppkey % 5 as bigint)").alias("c"), F.expr("cast(8 * l_orderkey + l_linenumber as bigint)").alias("pos")).agg(F.expr("cast(1 + sum(l_partkey) % 3 as bigint)").alias("k"))
 
     def variants(self, indels: bool = False) -> DataFrame:
-        """Substitutions with genotypes of three samples; or every 16th place an insertion (k = 1) or a deletion of two bases."""
+        """Substitutions with genotypes of three samples; or insertions (k = 1), deletions of two bases (k = 2) and substitutions."""
         v = self.sites()
         x = "((pos*pos + 3*pos + c) % 4)"
         ref, alt = self.letter(x), self.letter(f"(({x} + k) % 4)")
         if indels:
-            v = v.where(self.indel_sites)
             rest = self.letter("(((pos+1)*(pos+1) + 3*(pos+1) + c) % 4)"), self.letter("(((pos+2)*(pos+2) + 3*(pos+2) + c) % 4)")
-            alleles = f"case when k = 1 then array({ref}, concat({ref}, 'GG')) when {self.deleted} then array(concat({ref}, {rest[0]}, {rest[1]}), {ref}) else array({ref}, {alt}) end"
+            alleles = f"case when k = 1 then array({ref}, concat({ref}, 'GG')) when k = 2 then array(concat({ref}, {rest[0]}, {rest[1]}), {ref}) else array({ref}, {alt}) end"
         else:
             alleles = f"array({ref}, {alt})"
         call = "array_join(array({0}, {1}), '|')".format(*(f"element_at(array('0', '1', '.'), cast((pos*31 + s*17 + {h}*7) % 3 as int) + 1)" for h in (0, 1)))
@@ -93,31 +98,8 @@ class Tables:
         return consensus.run(tasks, self.reference(fasta.TILE), v, contigs, samples, keys, options, mask=intervals.merge_intervals(self.mask()) if mask else None)
 
 
-class AllRows(Tables):
-    """All lineitem rows: contig by supplier, base 8 * order + line, and regions that cover the contigs. Rows of one base make one record, in which each of them counts; with indels its k says insertion, deletion or substitution, and neighbours overlap."""
-
-    indel_sites, deleted = "true", "k = 2"
-
-    def regions_each(self) -> int:
-        return self.read("lineitem").agg(F.expr("(coalesce(max(8 * l_orderkey + l_linenumber), -1) + 60) div 60")).first()[0]
-
-    def reference(self, tile: int = TILE) -> DataFrame:
-        length = 60 * self.regions_each()
-        n = -(-length // tile)
-        rows = self.spark.range(5 * n).selectExpr(f"id div {n} as c", f"cast(id % {n} as int) as tile", f"id % {n} * {tile} as tile_start")
-        bases = f"array_join(transform(sequence(tile_start, least(tile_start + {tile}, {length}L) - 1), p -> {self.letter('(p*p + 3*p + c) % 4')}), '')"
-        return rows.selectExpr("cast(c as string) as contig", f"{length}L as contig_len", "tile", "tile_start", f"{bases} as bases")
-
-    def regions(self) -> DataFrame:
-        n = self.regions_each()
-        return self.spark.range(5 * n).selectExpr("id as rid", f"cast(id div {n} as string) as contig", f"60 * (id % {n}) as beg", f"60 * (id % {n}) + 59 as fin")
-
-    def sites(self) -> DataFrame:
-        return self.read("lineitem").groupBy(F.expr("cast(l_suppkey % 5 as bigint)").alias("c"), F.expr("cast(8 * l_orderkey + l_linenumber as bigint)").alias("pos")).agg(F.expr("cast(1 + sum(l_partkey) % 3 as bigint)").alias("k"))
-
-
-_CTE = """WITH RECURSIVE reg AS (SELECT n_nationkey::BIGINT AS rid, (n_nationkey % 5)::BIGINT AS c, (40 * n_nationkey)::BIGINT AS beg, (40 * n_nationkey + 59)::BIGINT AS fin FROM nation),
-site AS (SELECT (l_suppkey % 5)::BIGINT AS c, (l_orderkey % 1500)::BIGINT AS pos, min(1 + l_orderkey % 3)::BIGINT AS k FROM lineitem WHERE l_partkey % 11 = 0 GROUP BY 1, 2),
+_CTE = """WITH RECURSIVE reg AS (SELECT (c * n + w)::BIGINT AS rid, c, (60 * w)::BIGINT AS beg, (60 * w + 59)::BIGINT AS fin FROM (SELECT ((max(8 * l_orderkey + l_linenumber) + 60) // 60)::BIGINT AS n FROM lineitem), range(5) a(c), LATERAL (SELECT unnest(range(n)) AS w)),
+site AS (SELECT (l_suppkey % 5)::BIGINT AS c, (8 * l_orderkey + l_linenumber)::BIGINT AS pos, (1 + sum(l_partkey) % 3)::BIGINT AS k FROM lineitem GROUP BY 1, 2),
 span AS (SELECT c, pos, pos + (pos + k) % 5 AS ref_end, k FROM site),
 msk AS (SELECT (s_suppkey % 5)::BIGINT AS c, (s_suppkey * 37 % 900)::BIGINT AS beg, (s_suppkey * 37 % 900 + s_suppkey % 25)::BIGINT AS fin FROM supplier),
 cell AS (SELECT rid, reg.c, p, ((p*p + 3*p + reg.c) % 4)::BIGINT AS x, k FROM reg, LATERAL (SELECT unnest(range(beg, fin + 1)) AS p) LEFT JOIN site ON site.c = reg.c AND site.pos = p),
@@ -135,14 +117,14 @@ def tiles_fetch(spark, d):
     return fasta.fetch(t.reference(), t.regions(), TILE).select("rid", "slice")
 
 
-@_register("fasta_metadata", "SELECT i::VARCHAR AS contig, 1500::BIGINT AS contig_len FROM range(5) t(i)")
+@_register("fasta_metadata", _CTE + "SELECT c::VARCHAR AS contig, max(fin) + 1 AS contig_len FROM reg GROUP BY c")
 def fasta_metadata(spark, d):
     return fasta.metadata(Tables(spark, d).reference())
 
 
 def _overlap(mode):
-    def q(spark, d, tables=Tables):
-        t = tables(spark, d)
+    def q(spark, d):
+        t = Tables(spark, d)
         return intervals.range_join(t.regions(), t.spans(), ["contig"], mode=mode, size=64).select("rid", "contig", "pos", "ref_end")
 
     return q
@@ -153,8 +135,8 @@ _register("overlap_span", _CTE + "SELECT rid, span.c::VARCHAR AS contig, pos, re
 
 
 @_register("range_join_counts", _CTE + "SELECT rid, count(*) AS n, sum(ref_end - pos)::BIGINT AS width FROM reg JOIN span ON reg.c = span.c AND pos <= fin AND ref_end >= beg GROUP BY rid")
-def range_join_counts(spark, d, tables=Tables):
-    return _overlap(2)(spark, d, tables).groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.expr("ref_end - pos")).alias("width"))
+def range_join_counts(spark, d):
+    return _overlap(2)(spark, d).groupBy("rid").agg(F.count("*").alias("n"), F.sum(F.expr("ref_end - pos")).alias("width"))
 
 
 @_register("contig_alias", """WITH t AS (SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 3 = 0 THEN 'chr' ELSE '' END || (c_custkey % 12)::VARCHAR AS chr FROM customer),
@@ -219,8 +201,8 @@ _register("tss_windows", f"SELECT gene_id, chr, greatest(1, tss - 196608) AS sta
 
 
 @_register("prefix_max_end", _CTE + "SELECT c::VARCHAR AS contig, pos, max(ref_end) OVER (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING) AS pmax_end FROM span")
-def prefix_max_end(spark, d, tables=Tables):
-    v = tables(spark, d).spans().withColumn("vcf_key", F.lit("v")).withColumn("rec_no", F.col("pos"))
+def prefix_max_end(spark, d):
+    v = Tables(spark, d).spans().withColumn("vcf_key", F.lit("v")).withColumn("rec_no", F.col("pos"))
     return intervals.running_end(v).select("contig", "pos", "pmax_end")
 
 
@@ -232,8 +214,8 @@ def mask_merge(spark, d):
 
 
 @_register("mask_overlap", _CTE + "SELECT DISTINCT span.c::VARCHAR AS contig, pos, ref_end, k FROM span JOIN msk ON msk.c = span.c AND msk.beg <= ref_end AND msk.fin >= pos")
-def mask_overlap(spark, d, tables=Tables):
-    t = tables(spark, d)
+def mask_overlap(spark, d):
+    t = Tables(spark, d)
     return intervals.touched(t.spans(), t.mask(), size=64)
 
 
@@ -319,12 +301,12 @@ def iupac_codes(spark, d):
     return m.withColumn("code", iupac.code_of(F.col("mask")))
 
 
-def _consensus(name, expr, options=Options(), sample=None, hap=None, **more):
-    def q(spark, d, tables=Tables):
-        t = tables(spark, d)
+def _consensus(name, expr="", options=Options(), sample=None, hap=None, sql=None, **more):
+    def q(spark, d):
+        t = Tables(spark, d)
         return t.results(t.tasks([sample] if sample else None, [hap] if hap else None), options, **more).select("idx", "seq")
 
-    _register(name, _sequence(expr))(q)
+    _register(name, sql or _sequence(expr))(q)
 
 
 _CALL = "((p*31 + 1*17 + {h}*7) % 3)"
@@ -350,53 +332,43 @@ def _pick(prefer: str) -> str:
 _consensus("select_ref", _pick("R"), sample="s1", hap="R")
 _consensus("select_alt", _pick("A"), sample="s1", hap="A")
 
-_INDEL = "CASE WHEN k IS NOT NULL AND p % 16 = 3 AND k = 1 THEN b || 'GG' WHEN (p % 16 IN (4, 5)) AND p - p % 16 + 3 >= rid * 40 AND EXISTS (SELECT 1 FROM site s WHERE s.c = lt.c AND s.pos = lt.p - lt.p % 16 + 3 AND s.k <> 1) THEN '' ELSE b END"
-_consensus("consensus_indels", _INDEL, indels=True)
+# Base by base: frozen is the last base that an edit has settled; an indel may still share it as its anchor, a substitution may not.
+_WALK = _CTE + """, walk(rid, fin, p, frozen, seq) AS (SELECT rid, fin, beg - 1, -1::BIGINT, '' FROM reg UNION ALL
+SELECT w.rid, fin, lt.p, CASE WHEN k IS NULL OR lt.p < frozen OR (k = 3 AND lt.p = frozen) THEN frozen WHEN k = 2 THEN least(lt.p + 2, fin) ELSE lt.p END,
+       seq || CASE WHEN lt.p > frozen THEN CASE WHEN k = 3 THEN a ELSE b END ELSE '' END || CASE WHEN k = 1 AND lt.p >= frozen THEN 'GG' ELSE '' END
+FROM walk w JOIN lt ON lt.rid = w.rid AND lt.p = w.p + 1), s AS (SELECT rid, seq FROM walk WHERE p = fin)
+"""
+_consensus("consensus_indels", indels=True, sql=_WALK + "SELECT rid AS idx, seq FROM s")
 
 
-@_register("run_stats", _CTE + f", s AS (SELECT rid, string_agg({_INDEL}, '' ORDER BY p) AS seq FROM lt GROUP BY rid) SELECT count(*) AS n, 0::BIGINT AS failed, sum(length(seq))::BIGINT AS total_len, min(length(seq)) AS min_len, max(length(seq)) AS max_len, NULL::VARCHAR AS first_error FROM s")
-def run_stats(spark, d, tables=Tables):
-    t = tables(spark, d)
+@_register("run_stats", _WALK + "SELECT count(*) AS n, 0::BIGINT AS failed, sum(length(seq))::BIGINT AS total_len, min(length(seq)) AS min_len, max(length(seq)) AS max_len, NULL::VARCHAR AS first_error FROM s")
+def run_stats(spark, d):
+    t = Tables(spark, d)
     return stats.run_stats(t.results(t.tasks(), indels=True))
 
 
 @_register("failed_tasks", _CTE + "SELECT rid AS idx, 'unknown vcf_key: w' AS error FROM reg WHERE rid % 3 = 1 UNION ALL SELECT rid, NULL FROM reg WHERE rid % 3 <> 1")
-def failed_tasks(spark, d, tables=Tables):
-    t = tables(spark, d)
+def failed_tasks(spark, d):
+    t = Tables(spark, d)
     return t.results(t.tasks().withColumn("vcf_key", F.when(F.col("idx") % 3 == 1, "w").otherwise(F.col("vcf_key")))).select("idx", "error")
 
 
 @_register("one_hot", _CTE + ", s AS (SELECT rid, p - min(p) OVER (PARTITION BY rid) AS place, coalesce(a, b) AS z FROM lt) SELECT rid AS idx, place, (z = 'A')::INTEGER AS a, (z = 'C')::INTEGER AS c, (z = 'G')::INTEGER AS g, (z = 'T')::INTEGER AS t FROM s")
-def one_hot(spark, d, tables=Tables):
-    t = tables(spark, d)
+def one_hot(spark, d):
+    t = Tables(spark, d)
     rows = t.results(t.tasks()).select("idx", F.posexplode(sinks.one_hot("seq")).alias("at", "v"))
     return rows.select("idx", F.col("at").cast("long").alias("place"), *[F.col("v")[i].alias(n) for i, n in enumerate("acgt")])
 
 
 @_register("fasta_text", _CTE + ", s AS (SELECT rid, string_agg(coalesce(a, b), '' ORDER BY p) AS seq FROM lt GROUP BY rid) SELECT 'g' || rid AS gene_id, '>g' || rid || chr(10) || substr(seq, 1, 25) || chr(10) || substr(seq, 26, 25) || chr(10) || substr(seq, 51) AS text FROM s")
-def fasta_text(spark, d, tables=Tables):
-    t = tables(spark, d)
+def fasta_text(spark, d):
+    t = Tables(spark, d)
     return sinks.fasta_text(t.results(t.tasks()), 25).select("gene_id", "text")
 
 
 @_register("consensus_haplotypes", _CTE + """, h AS (SELECT i AS s, j AS h FROM range(3) a(i), range(2) b(j))
 SELECT (rid * 3 + s) * 2 + h AS idx, string_agg(CASE WHEN k IS NOT NULL AND (p*31 + s*17 + h*7) % 3 = 1 THEN a ELSE b END, '' ORDER BY p) AS seq FROM lt, h GROUP BY rid, s, h""")
-def consensus_haplotypes(spark, d, tables=Tables):
+def consensus_haplotypes(spark, d):
     """The headline query: every region, sample and haplotype."""
-    t = tables(spark, d)
+    t = Tables(spark, d)
     return t.results(t.tasks(["s0", "s1", "s2"], ["1", "2"])).select("idx", "seq")
-
-
-_ALL_CTE = _CTE.replace(_CTE[_CTE.index("reg AS") : _CTE.index("span AS")], """reg AS (SELECT (c * n + w)::BIGINT AS rid, c, (60 * w)::BIGINT AS beg, (60 * w + 59)::BIGINT AS fin FROM (SELECT ((max(8 * l_orderkey + l_linenumber) + 60) // 60)::BIGINT AS n FROM lineitem), range(5) a(c), LATERAL (SELECT unnest(range(n)) AS w)),
-site AS (SELECT (l_suppkey % 5)::BIGINT AS c, (8 * l_orderkey + l_linenumber)::BIGINT AS pos, (1 + sum(l_partkey) % 3)::BIGINT AS k FROM lineitem GROUP BY 1, 2),
-""")
-# Base by base: frozen is the last base that an edit has settled; an indel may still share it as its anchor, a substitution may not.
-_WALK = _ALL_CTE + """, walk(rid, fin, p, frozen, seq) AS (SELECT rid, fin, beg - 1, -1::BIGINT, '' FROM reg UNION ALL
-SELECT w.rid, fin, lt.p, CASE WHEN k IS NULL OR lt.p < frozen OR (k = 3 AND lt.p = frozen) THEN frozen WHEN k = 2 THEN least(lt.p + 2, fin) ELSE lt.p END,
-       seq || CASE WHEN lt.p > frozen THEN CASE WHEN k = 3 THEN a ELSE b END ELSE '' END || CASE WHEN k = 1 AND lt.p >= frozen THEN 'GG' ELSE '' END
-FROM walk w JOIN lt ON lt.rid = w.rid AND lt.p = w.p + 1), s AS (SELECT rid, seq FROM walk WHERE p = fin)
-"""
-_INDELS = {"consensus_indels": _WALK + "SELECT rid AS idx, seq FROM s", "run_stats": _WALK + ORACLE["run_stats"][ORACLE["run_stats"].index("SELECT count(*) AS n") :]}
-
-for _name in [n for n in QUERIES if n.startswith(("consensus_", "select_", "overlap_")) or n in ("range_join_counts", "prefix_max_end", "mask_overlap", "run_stats", "failed_tasks", "one_hot", "fasta_text")]:
-    _register(f"all_rows_{_name}", _INDELS.get(_name, ORACLE[_name].replace(_CTE, _ALL_CTE)))(partial(QUERIES[_name], tables=AllRows))

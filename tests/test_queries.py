@@ -7,7 +7,7 @@ import pytest
 
 from haploweave.plans.queries import ORACLE, QUERIES
 
-SNV = ["all_rows_consensus_all_alt", "all_rows_overlap_span", "all_rows_range_join_counts"]
+SNV = ["consensus_all_alt", "overlap_span", "range_join_counts"]
 
 
 @pytest.fixture(scope="module")
@@ -50,12 +50,12 @@ def test_every_row_is_used(spark, tables):
     snv, edit, taken, sites = brute(rows)
     assert taken == sites
     got = lambda name: {r["idx"]: r["seq"] for r in QUERIES[name](spark, d).collect()}
-    assert got("all_rows_consensus_all_alt") == snv
-    assert got("all_rows_consensus_indels") == edit
-    assert QUERIES["all_rows_overlap_pos"](spark, d).count() == sites
+    assert got("consensus_all_alt") == snv
+    assert got("consensus_indels") == edit
+    assert QUERIES["overlap_pos"](spark, d).count() == sites
 
 
-@pytest.mark.parametrize("name", [*SNV, "all_rows_consensus_indels", "all_rows_run_stats"])
+@pytest.mark.parametrize("name", [*SNV, "consensus_indels", "run_stats"])
 def test_sql(spark, tables, name):
     d, _ = tables
     con = duckdb.connect()
