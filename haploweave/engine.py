@@ -8,7 +8,9 @@ import itertools
 import json
 import logging
 import os
+import shutil
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,8 @@ from .sources.vcf import Vcf, read_vcf
 
 log = logging.getLogger("haploweave")
 LEVELS = {"off": logging.CRITICAL + 10, "none": logging.CRITICAL + 10, "quiet": logging.CRITICAL + 10, "error": logging.ERROR, "err": logging.ERROR, "warn": logging.WARNING, "warning": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG, "trace": logging.DEBUG}
-CACHE_VERSION = 1
+CACHE_VERSION = 2
+PARTS = ("variants", "contigs", "samples", "malformed")
 
 
 @dataclass
@@ -81,8 +84,35 @@ def _fingerprint(path: str) -> dict:
     return {"path": os.path.realpath(path), "length": st.st_size, "mtime_ns": st.st_mtime_ns, "version": CACHE_VERSION}
 
 
+def _cache_of(path: str, cache_dir: str | None) -> tuple[str, dict | None]:
+    """The cache folder of a VCF and its manifest, if there is one that can be read."""
+    real = os.path.realpath(path)
+    target = os.path.join(cache_dir or os.path.dirname(real), f".{os.path.basename(real)}.haplo-{hashlib.sha256(real.encode()).hexdigest()[:12]}")
+    try:
+        with open(os.path.join(target, "manifest.json")) as f:
+            return target, json.load(f)
+    except (FileNotFoundError, json.JSONDecodeError):
+        return target, None
+
+
+def _fresh(target: str, manifest: dict | None, mark: dict) -> bool:
+    return bool(manifest) and all(manifest.get(k) == v for k, v in mark.items()) and os.path.isdir(os.path.join(target, manifest.get("data", "-")))
+
+
+def open_vcf(spark: SparkSession, path: str, key: str, cache_dir: str | None = None) -> Vcf:
+    """From a valid cache of the file, else from its text. A cache whose manifest names another length, time or version is passed over."""
+    if "://" not in path and os.path.exists(path):
+        target, manifest = _cache_of(path, cache_dir)
+        if _fresh(target, manifest, _fingerprint(path)):
+            part = lambda name: spark.read.parquet(os.path.join(target, manifest["data"], name)).withColumn("vcf_key", F.lit(key))
+            return Vcf(*(part(name) for name in PARTS))
+    return read_vcf(spark, path, key)
+
+
 def build_cache(spark: SparkSession, paths, *, force: bool = False, cache_dir: str | None = None, log_level: str = "info", compile_threads: int | None = None) -> list[CacheResult]:
-    """Parse VCFs once into Parquet beside a manifest; valid caches are hits. Files that are the same on disk are done once, in first-seen order. A failure raises OSError naming the path."""
+    """Parse VCFs once into Parquet beside a manifest; valid caches are hits. Files that are the same on disk are done once, in first-seen order. A failure raises OSError naming the path.
+
+    Each build writes a folder of its own, which the manifest names once it is whole, so a broken build leaves the old cache as it was. The replaced folder is deleted: engines opened on it must be opened again."""
     log.setLevel(LEVELS[log_level])
     out, seen = [], set()
     for path in paths:
@@ -92,24 +122,23 @@ def build_cache(spark: SparkSession, paths, *, force: bool = False, cache_dir: s
                 continue
             seen.add(real)
             began, mark = time.time(), _fingerprint(path)
-            target = os.path.join(cache_dir or os.path.dirname(real), f".{os.path.basename(real)}.haplo-{hashlib.sha256(real.encode()).hexdigest()[:12]}")
-            manifest = os.path.join(target, "manifest.json")
-            old = None
-            if os.path.exists(manifest):
-                with open(manifest) as f:
-                    old = json.load(f)
-            if not force and old and {k: old.get(k) for k in mark} == mark:
+            target, old = _cache_of(path, cache_dir)
+            if not force and _fresh(target, old, mark):
                 status, made = "hit", old
             else:
                 status = "forced" if force else "rebuilt" if old else "built"
-                vcf = read_vcf(spark, path, "cache")
-                for name in ("variants", "contigs", "samples"):
-                    getattr(vcf, name).write.mode("overwrite").parquet(os.path.join(target, name))
-                made = mark | {"records": spark.read.parquet(os.path.join(target, "variants")).count(), "samples": spark.read.parquet(os.path.join(target, "samples")).count()}
+                vcf, data = read_vcf(spark, path, "cache"), uuid.uuid4().hex
+                for name in PARTS:
+                    getattr(vcf, name).write.parquet(os.path.join(target, data, name))
+                size = lambda name: spark.read.parquet(os.path.join(target, data, name)).count()
+                made = mark | {"data": data, "records": size("variants"), "samples": size("samples")}
+                manifest = os.path.join(target, "manifest.json")
                 with open(manifest + ".tmp", "w") as f:
                     json.dump(made, f)
                 os.replace(manifest + ".tmp", manifest)
-            mb = sum(os.path.getsize(os.path.join(d, x)) for d, _, xs in os.walk(target) for x in xs) / 1e6
+                if old and old.get("data"):
+                    shutil.rmtree(os.path.join(target, old["data"]), ignore_errors=True)
+            mb = sum(os.path.getsize(os.path.join(d, x)) for d, _, xs in os.walk(os.path.join(target, made["data"])) for x in xs) / 1e6
             out.append(CacheResult(path, target, status, made["records"], made["samples"], mb, time.time() - began))
         except Exception as e:
             raise OSError(f"{path}: {e}") from e
@@ -117,9 +146,9 @@ def build_cache(spark: SparkSession, paths, *, force: bool = False, cache_dir: s
 
 
 class ConsensusEngine:
-    """``vcfs``: {key: path}. Options are those of operators.apply.Options; ``mask`` is a BED path."""
+    """``vcfs``: {key: path}; a file with a valid cache (``build_cache``) is read from there. Options are those of operators.apply.Options; ``mask`` is a BED path."""
 
-    def __init__(self, spark: SparkSession, ref_path: str, vcfs: dict[str, str], *, iupac_codes: bool = False, missing: str | None = None, absent: str | None = None, mark_del: str | None = None, mark_ins: str | None = None, mark_snv: str | None = None, mask: str | None = None, mask_with: str = "N", chain: bool = False, regions_overlap: int = 0, max_tasks_per_group: int = 0, compile_threads: int | None = None, log_level: str = "info", error_mode: str = "warn"):
+    def __init__(self, spark: SparkSession, ref_path: str, vcfs: dict[str, str], *, iupac_codes: bool = False, missing: str | None = None, absent: str | None = None, mark_del: str | None = None, mark_ins: str | None = None, mark_snv: str | None = None, mask: str | None = None, mask_with: str = "N", chain: bool = False, regions_overlap: int = 0, max_tasks_per_group: int = 0, compile_threads: int | None = None, log_level: str = "info", error_mode: str = "warn", cache_dir: str | None = None):
         if regions_overlap not in (0, 1, 2):
             raise ValueError("regions_overlap must be 0, 1 or 2")
         self.spark, self.overlap, self.group = spark, regions_overlap, max_tasks_per_group
@@ -134,7 +163,8 @@ class ConsensusEngine:
         parts: list[tuple[str, Vcf]] = []
         for key, path in sorted(vcfs.items()):
             real = os.path.realpath(path) if "://" not in path else path
-            loaded.setdefault(real, read_vcf(spark, path, key))
+            if real not in loaded:
+                loaded[real] = open_vcf(spark, path, key, cache_dir)
             parts.append((key, loaded[real]))
         self.keys = spark.createDataFrame([(k,) for k in vcfs] or [("",)], "vcf_key string").where("vcf_key <> ''")
         union = lambda name, ddl: self._union([getattr(v, name).withColumn("vcf_key", F.lit(k)) for k, v in parts], ddl)

@@ -3,6 +3,7 @@
 import pytest
 
 from haploweave.engine import ConsensusEngine, Task, build_cache, build_tasks
+from haploweave.sources.vcf import read_vcf
 
 HEAD = "##fileformat=VCFv4.3\n##contig=<ID=chr1,length=8>\n##FORMAT=<ID=GT,Number=1,Type=String,Description=\"GT\">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2\n"
 
@@ -60,3 +61,28 @@ def test_cache(spark, files):
     assert build_cache(spark, [path], force=True)[0].status == "forced"
     with pytest.raises(OSError, match="gone"):
         build_cache(spark, [str(files / "gone.vcf")])
+
+
+def test_engine_reads_a_valid_cache(spark, files, monkeypatch):
+    path, region = str(files / "v.vcf"), build_tasks(REGION, ["S1", "S2"], ["1", "2"])
+    want = engine(spark, files).consensus_many(region)
+    store = str(files / "store")
+    build_cache(spark, [path], cache_dir=store)
+    parsed = []
+
+    def no_text(*args):
+        parsed.append(args[1])
+        return read_vcf(*args)
+
+    monkeypatch.setattr("haploweave.engine.read_vcf", no_text)
+    cached = engine(spark, files, cache_dir=store)
+    assert cached.consensus_many(region) == want and not parsed
+    assert cached.sample_names("v") == ["S1", "S2"]
+    engine(spark, files)  # no cache beside the file
+    assert parsed == [path]
+    with open(path, "a") as f:
+        f.write("chr1\t7\t.\tG\tC\t.\t.\t.\tGT\t1|1\t1|1\n")
+    changed = engine(spark, files, cache_dir=store).consensus_many(region)
+    assert parsed == [path, path] and [r.seq[6:7] for r in changed] == [b"C"] * 4
+    assert build_cache(spark, [path], cache_dir=store)[0].status == "rebuilt"
+    assert engine(spark, files, cache_dir=store).consensus_many(region) == changed and len(parsed) == 3
