@@ -40,9 +40,11 @@ def fetch(reference: DataFrame, regions: DataFrame, tile: int = TILE) -> DataFra
     """Adds ``slice`` to regions (rid, contig, beg, fin; closed, beg below 0 counts as 0): the bases, cut at the contig's end; null where there are none."""
     beg = F.greatest("beg", F.lit(0))
     wanted = regions.withColumn("_b", beg).where("fin >= _b").select("rid", "contig", "_b", "fin", F.explode(F.sequence(F.expr(f"cast(_b div {tile} as int)"), F.expr(f"cast(fin div {tile} as int)"))).alias("tile"))
-    parts = wanted.join(reference.select("contig", "tile", "tile_start", "bases"), ["contig", "tile"])
-    own = F.expr("substring(bases, cast(greatest(_b - tile_start, 0) + 1 as int), cast(fin - greatest(_b, tile_start) + 1 as int))")
-    slices = parts.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", own.alias("s")))), lambda x: x["s"]), "").alias("slice"))
+    # Bytes are cut by place; letters of a string would be counted from its start.
+    parts = wanted.join(reference.select("contig", "tile", "tile_start", F.col("bases").cast("binary").alias("bases")), ["contig", "tile"])
+    own = F.expr("cast(substring(bases, cast(greatest(_b - tile_start, 0) + 1 as int), cast(fin - greatest(_b, tile_start) + 1 as int)) as string)")
+    parts = parts.select("rid", "tile", own.alias("s"))  # before the aggregation, which would sort rows with whole tiles
+    slices = parts.groupBy("rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "s"))), lambda x: x["s"]), "").alias("slice"))
     return regions.join(slices.where("slice <> ''"), "rid", "left")
 
 
