@@ -197,7 +197,7 @@ class ConsensusEngine:
 
     def results(self, tasks) -> DataFrame:
         """The lazy result table; everything else is an action on it."""
-        return consensus.run(self.task_table(tasks), self.reference, self.variants, self.contigs, self.samples, self.keys, self.options, overlap=self.overlap, mask=self.mask)
+        return consensus.run(self.task_table(tasks), self.reference, self.variants, self.contigs, self.samples, self.keys, self.options, overlap=self.overlap, mask=self.mask, group=self.group)
 
     def _result(self, r) -> ConsensusResult:
         if r["error"]:

@@ -61,6 +61,15 @@ def mode_of(sample: str | None, haplotype: str | None, iupac_codes: bool) -> tup
     return (MIX_ALL if iupac_codes and haplotype is None else ALL_ALT), Spec()
 
 
+def parse_gt(text: str | None) -> Gt | None:
+    """A genotype's text as (allele, phased) each, by the rules of sources.vcf.decode_gt."""
+    if text is None:
+        return None
+    marks = [c for c in text if c in "/|"]
+    number = lambda a: int(a) if re.fullmatch(r"[+-]?\d+", a) else None
+    return [(number(a), not marks or marks[max(i - 1, 0)] == "|") for i, a in enumerate(re.split(r"[/|]", text))]
+
+
 #: Outcomes of choose besides an allele index.
 SKIP, MISSING = None, -1
 

@@ -1,23 +1,28 @@
-"""Consensus sequences of a task table: slices and records per distinct region, alleles per distinct task, one Arrow pass."""
+"""Consensus sequences of a task table: slices and records per distinct region, alleles per group of a region's tasks, one Arrow pass."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import with_ops
 from ..functions.haplotype import mode_of
 from ..plans.planner import plan_regions
 from ..sources import fasta
-from ..sources.vcf import decode_gt
-from .apply import Options, Record, consensus
+from .apply import Options, Record
 from .intervals import alias_contigs, range_join
-from .tasks import REGION, distinct_work
+from .lanes import Region
+from .tasks import REGION
 
-_OUT = "seq string, chain string, error string, failure_kind string, napplied long"
+GROUP = 64  # most tasks that share one row of slice and records
+_SHARED = 4096  # most equal tasks that share one sequence
+_BYTES = 16 << 20  # sequences are handed back when they reach this
+_MEMBERS = pa.list_(pa.struct([("idx", pa.int64()), ("gene_id", pa.string())]))
+_OUT = pa.schema([("members", _MEMBERS), ("sample", pa.string()), ("haplotype", pa.string()), ("seq", pa.string()), ("chain", pa.string()), ("error", pa.string()), ("failure_kind", pa.string()), ("lane", pa.string()), ("napplied", pa.int64())])
+_DDL = "members array<struct<idx:long,gene_id:string>>, sample string, haplotype string, seq string, chain string, error string, failure_kind string, lane string, napplied long"
 
 
 def region_records(regions: DataFrame, variants: DataFrame, contigs: DataFrame, mode: int) -> DataFrame:
@@ -29,11 +34,32 @@ def region_records(regions: DataFrame, variants: DataFrame, contigs: DataFrame,
     return planned.select("rid", "records", "lane")
 
 
-def run(tasks: DataFrame, reference: DataFrame, variants: DataFrame, contigs: DataFrame, samples: DataFrame, keys: DataFrame, options: Options, *, overlap: int = 0, mask: DataFrame | None = None) -> DataFrame:
-    """Results in the layout of schemas.RESULTS, keyed by idx."""
-    regions = tasks.select(*REGION).distinct().withColumn("rid", F.xxhash64(*REGION)).withColumn("beg", F.col("start") - 1).withColumn("fin", F.col("end") - 1)
+def _groups(tasks: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(rid, jobs): at most ``most`` different tasks of a region, each with its place among the asked samples and the input rows it answers.
+
+    Groups follow idx, so a region with any number of tasks is spread without ranking them."""
+    work = tasks.groupBy(*REGION, "sample", "haplotype", F.expr(f"idx div {_SHARED}").alias("_block")).agg(F.collect_list(F.struct("idx", "gene_id")).alias("members"), F.min("idx").alias("_first"))
+    work = work.join(asked.select("vcf_key", "sample", "at"), ["vcf_key", "sample"], "left")
+    return work.groupBy(_rid().alias("rid"), F.expr(f"_first div {most}").alias("_chunk")).agg(F.collect_list(F.struct("sample", "haplotype", "at", "members")).alias("jobs")).drop("_chunk")
+
+
+def _rid() -> Column:
+    """A region's key as one value; nulls in it equal each other."""
+    return F.struct(*REGION)
+
+
+def run(tasks: DataFrame, reference: DataFrame, variants: DataFrame, contigs: DataFrame, samples: DataFrame, keys: DataFrame, options: Options, *, overlap: int = 0, mask: DataFrame | None = None, group: int = 0) -> DataFrame:
+    """Results in the layout of schemas.RESULTS, keyed by idx. group: most tasks of a region that are made together, 0 for the default."""
+    regions = tasks.select(*REGION).distinct().withColumn("rid", _rid()).withColumn("beg", F.col("start") - 1).withColumn("fin", F.col("end") - 1)
+    # Genotypes of asked samples only, in the order of their columns; ``at`` is a sample's place among them.
+    named = tasks.select("vcf_key", "sample").distinct().join(samples.select("vcf_key", "sample", "sample_idx"), ["vcf_key", "sample"])
+    columns = named.groupBy("vcf_key").agg(F.sort_array(F.collect_set("sample_idx")).alias("columns"))
+    asked = named.join(columns, "vcf_key").withColumn("at", F.array_position("columns", F.col("sample_idx")).cast("int") - 1)
+    calls = F.transform(F.coalesce("columns", F.array().cast("array<int>")), lambda i: F.get("gt", i))
+    slim = variants.join(columns, "vcf_key", "left").withColumn("gt", calls).drop("columns")
+
     fetched = fasta.fetch(reference, regions.select("rid", F.col("chr").alias("contig"), "beg", "fin"))
-    base = regions.join(fetched.select("rid", "slice"), "rid", "left").join(region_records(regions, variants, contigs, overlap), "rid", "left")
+    base = regions.join(fetched.select("rid", "slice"), "rid", "left").join(region_records(regions, slim, contigs, overlap), "rid", "left")
     if mask is not None:
         overlaps = regions.select("rid", F.col("chr").alias("contig"), F.col("beg").alias("b"), F.col("fin").alias("f"))
         m = mask.select("contig", F.col("beg").alias("pos"), F.col("fin").alias("ref_end"))
@@ -44,35 +70,42 @@ def run(tasks: DataFrame, reference: DataFrame, variants: DataFrame, contigs: Da
     if options.mask_with not in ("uc", "lc"):  # a record under a letter mask leaves the region without a fast lane
         under = F.exists("records", lambda r: F.exists("mask", lambda m: (m["pos"] <= r["pos"] + r["rlen"] - 1) & (m["ref_end"] >= r["pos"])))
         base = base.withColumn("lane", F.when(under, "FallbackStateMachine").otherwise(F.col("lane")))
+    base = base.withColumn("lane", F.coalesce("lane", F.lit("EmptyRegion")))
     base = base.join(keys.select("vcf_key").distinct().withColumn("known", F.lit(True)), "vcf_key", "left")
-    base = base.withColumn("error0", F.when(F.col("known").isNull(), F.concat(F.lit("unknown vcf_key: "), F.col("vcf_key"))).when(F.col("start") < 1, F.concat(F.lit("ref fetch failed: 1-based start "), F.col("start").cast("string"), F.lit(" < 1"))).when(F.col("slice").isNull(), F.concat(F.lit("ref fetch failed: no bases at "), F.col("chr"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))))
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    base = base.withColumn("error0", F.when(F.col("known").isNull(), F.concat(F.lit("unknown vcf_key: "), word("vcf_key"))).when(F.col("start") < 1, F.concat(F.lit("ref fetch failed: 1-based start "), word("start"), F.lit(" < 1"))).when(F.col("slice").isNull(), F.concat(F.lit("ref fetch failed: no bases at "), word("chr"), F.lit(":"), word("start"), F.lit("-"), word("end"))))
+
+    own = lambda r: F.transform("jobs", lambda j: F.get(r["gt"], F.coalesce(j["at"], F.lit(-1))))
+    records = F.transform("records", lambda r: F.struct(r["pos"].alias("pos"), r["rlen"].alias("rlen"), r["alleles"].alias("alleles"), r["var_is_ref"].alias("var_is_ref"), own(r).alias("calls")))
+    jobs = _groups(tasks, asked, group or GROUP).join(base.drop(*REGION, "known", "fin"), "rid").select("jobs", F.col("rid.chr").alias("chr"), "beg", "slice", records.alias("records"), "mask", "lane", "error0")
+    done = jobs.mapInArrow(_applier(options), _DDL)
+    return done.withColumn("m", F.explode("members")).select("m.idx", "m.gene_id", "sample", "haplotype", "seq", "chain", "error", "failure_kind", "lane", "napplied")
 
-    work = distinct_work(tasks).select(*REGION, "sample", "haplotype").join(samples.select("vcf_key", "sample", "sample_idx"), ["vcf_key", "sample"], "left")
-    own = lambda r: F.get(r["gt"], F.coalesce(F.col("sample_idx"), F.lit(-1)))
-    slim = F.transform("records", lambda r: F.struct(r["pos"].alias("pos"), r["rlen"].alias("rlen"), r["alleles"].alias("alleles"), r["var_is_ref"].alias("var_is_ref"), decode_gt(own(r)).alias("gt")))
-    jobs = work.join(base.drop("known"), list(REGION)).select(*REGION, "sample", "haplotype", "slice", "beg", slim.alias("records"), "mask", "error0", F.when((F.size("records") > 0), F.col("lane")).otherwise("EmptyRegion").alias("lane"))
-    names = jobs.columns
-    opt = options
+
+def _applier(opt: Options):
+    def results(row: dict) -> Iterator[dict]:
+        job = lambda j: {"members": j["members"], "sample": j["sample"], "haplotype": j["haplotype"], "lane": row["lane"]}
+        if row["error0"]:
+            for j in row["jobs"]:
+                yield job(j) | {"error": row["error0"], "napplied": 0}
+            return
+        found = row["records"] or ()
+        region = Region(row["slice"], row["chr"], row["beg"], [Record(r["pos"], r["rlen"], r["alleles"], r["var_is_ref"]) for r in found], opt, [(m["pos"], m["ref_end"]) for m in row["mask"] or ()])
+        for n, j in enumerate(row["jobs"]):
+            o, _ = region.run(*mode_of(j["sample"], j["haplotype"], opt.iupac_codes), [r["calls"][n] for r in found])
+            yield job(j) | {"seq": o.seq, "chain": o.chain, "error": o.error, "failure_kind": o.kind, "napplied": o.napplied}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["error0"]:
-                    out.append((None, None, row["error0"], None, 0))
-                    continue
-                mode, spec = mode_of(row["sample"], row["haplotype"], opt.iupac_codes)
-                records = [Record(r["pos"], r["rlen"], r["alleles"], r["var_is_ref"], None if r["gt"] is None else [(g["allele"], g["phased"]) for g in r["gt"]]) for r in row["records"] or ()]
-                o = consensus(row["slice"], row["chr"], row["beg"], records, mode, spec, opt, [(m["pos"], m["ref_end"]) for m in row["mask"] or ()])
-                out.append((o.seq, o.chain, o.error, o.kind, o.napplied))
-            kept = [batch.column(names.index(n)) for n in (*REGION, "sample", "haplotype", "lane")]
-            cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*kept, *cols], [*REGION, "sample", "haplotype", "lane", "seq", "chain", "error", "failure_kind", "napplied"])
-
-    done = jobs.mapInArrow(apply, "chr string, start long, `end` long, vcf_key string, sample string, haplotype string, lane string, " + _OUT)
-    t, d = tasks.alias("t"), done.alias("d")
-    same = [F.col(f"t.{c}") == F.col(f"d.{c}") for c in REGION] + [F.col(f"t.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("sample", "haplotype")]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return t.join(d, cond).select("t.idx", "t.gene_id", "t.sample", "t.haplotype", "d.seq", "d.chain", "d.error", "d.failure_kind", "d.lane", "d.napplied")
+            for i in range(batch.num_rows):
+                for r in results(batch.slice(i, 1).to_pylist()[0]):
+                    out.append(r)
+                    size += 200 + len(r.get("seq") or "")
+                    if size > _BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+                        out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_OUT)
+
+    return apply
