@@ -23,16 +23,33 @@ from .operators import consensus, stats
 from .operators import tasks as task_ops
 from .operators.apply import Options
 from .operators.intervals import alias_contigs, range_join
+from .plans.planner import plan_regions
 from .sources import fasta
 from .sources.tables import read_bed
 from .sources.vcf import Vcf, read_vcf
 
 log = logging.getLogger("haploweave")
 LEVELS = {"off": logging.CRITICAL + 10, "none": logging.CRITICAL + 10, "quiet": logging.CRITICAL + 10, "error": logging.ERROR, "err": logging.ERROR, "warn": logging.WARNING, "warning": logging.WARNING, "info": logging.INFO, "debug": logging.DEBUG, "trace": logging.DEBUG}
-CACHE_VERSION = 2
+CACHE_VERSION = 3
+WARNINGS = 20  # failures of one engine that are logged before the rest is passed over
 PARTS = ("variants", "contigs", "samples", "malformed")
 
 
+_htslib_level = "warning"
+
+
+def set_htslib_log_level(level: str) -> None:
+    """Kept for callers that set it: no such library reads the files here, so the level has no effect."""
+    global _htslib_level
+    if level not in LEVELS:
+        raise ValueError(f"unknown log level {level!r}")
+    _htslib_level = level
+
+
+def get_htslib_log_level() -> str:
+    return _htslib_level
+
+
 @dataclass
 class Task:
     chr: str
@@ -109,6 +126,15 @@ def open_vcf(spark: SparkSession, path: str, key: str, cache_dir: str | None = N
     return read_vcf(spark, path, key)
 
 
+def input_warnings(malformed: DataFrame, contigs: DataFrame) -> list[str]:
+    """What was left out or filled in while reading: malformed rows by number, undeclared contigs by name."""
+    rows = [r for r in malformed.groupBy("vcf_key").agg(F.sum("malformed").alias("n")).collect() if r["n"]]
+    names = contigs.where("NOT coalesce(declared, false)").orderBy("vcf_key", "contig").limit(WARNINGS + 1).collect()
+    out = [f"{r['vcf_key']}: {r['n']} malformed rows left out" for r in rows]
+    out += [f"{r['vcf_key']}: contig {r['contig']} is not declared in the header" for r in names[:WARNINGS]]
+    return out + (["further undeclared contigs are not listed"] if len(names) > WARNINGS else [])
+
+
 def build_cache(spark: SparkSession, paths, *, force: bool = False, cache_dir: str | None = None, log_level: str = "info", compile_threads: int | None = None) -> list[CacheResult]:
     """Parse VCFs once into Parquet beside a manifest; valid caches are hits. Files that are the same on disk are done once, in first-seen order. A failure raises OSError naming the path.
 
@@ -132,6 +158,9 @@ def build_cache(spark: SparkSession, paths, *, force: bool = False, cache_dir: s
                     getattr(vcf, name).write.parquet(os.path.join(target, data, name))
                 size = lambda name: spark.read.parquet(os.path.join(target, data, name)).count()
                 made = mark | {"data": data, "records": size("variants"), "samples": size("samples")}
+                part = lambda name: spark.read.parquet(os.path.join(target, data, name))
+                for line in input_warnings(part("malformed"), part("contigs")):
+                    log.warning("%s: %s", path, line)
                 manifest = os.path.join(target, "manifest.json")
                 with open(manifest + ".tmp", "w") as f:
                     json.dump(made, f)
@@ -149,6 +178,7 @@ class ConsensusEngine:
     """``vcfs``: {key: path}; a file with a valid cache (``build_cache``) is read from there. Options are those of operators.apply.Options; ``mask`` is a BED path."""
 
     def __init__(self, spark: SparkSession, ref_path: str, vcfs: dict[str, str], *, iupac_codes: bool = False, missing: str | None = None, absent: str | None = None, mark_del: str | None = None, mark_ins: str | None = None, mark_snv: str | None = None, mask: str | None = None, mask_with: str = "N", chain: bool = False, regions_overlap: int = 0, max_tasks_per_group: int = 0, compile_threads: int | None = None, log_level: str = "info", error_mode: str = "warn", cache_dir: str | None = None):
+        began = time.time()
         if regions_overlap not in (0, 1, 2):
             raise ValueError("regions_overlap must be 0, 1 or 2")
         self.spark, self.overlap, self.group = spark, regions_overlap, max_tasks_per_group
@@ -159,18 +189,30 @@ class ConsensusEngine:
         if not os.path.exists(ref_path) and "://" not in ref_path:
             raise OSError(f"fai_load failed for {ref_path}")
         self.reference = fasta.read_fasta(spark, ref_path).cache()
-        loaded: dict[str, Vcf] = {}
-        parts: list[tuple[str, Vcf]] = []
+        names: dict[str, list[str]] = {}  # the keys of each file; a file of several keys is read once
         for key, path in sorted(vcfs.items()):
-            real = os.path.realpath(path) if "://" not in path else path
-            if real not in loaded:
-                loaded[real] = open_vcf(spark, path, key, cache_dir)
-            parts.append((key, loaded[real]))
+            names.setdefault(os.path.realpath(path) if "://" not in path else path, []).append(key)
+        parts = [(keys, open_vcf(spark, path, keys[0], cache_dir)) for path, keys in names.items()]
         self.keys = spark.createDataFrame([(k,) for k in vcfs] or [("",)], "vcf_key string").where("vcf_key <> ''")
-        union = lambda name, ddl: self._union([getattr(v, name).withColumn("vcf_key", F.lit(k)) for k, v in parts], ddl)
+        union = lambda name, ddl: self._union([getattr(v, name).withColumn("vcf_key", F.explode(F.array(*map(F.lit, keys)))) for keys, v in parts], ddl)
         self.variants = union("variants", schemas.VARIANTS).cache()
         self.contigs, self.samples = union("contigs", schemas.CONTIGS), union("samples", schemas.SAMPLES)
+        self.malformed = union("malformed", "vcf_key string, malformed long")
         self.mask = read_bed(spark, mask) if mask else None
+        self._warned = 0
+        self.load_sec = time.time() - began
+
+    def close(self) -> None:
+        """Give back the memory of the reference and the variants."""
+        self.reference.unpersist()
+        self.variants.unpersist()
+
+    def input_warnings(self) -> list[str]:
+        """Logged and returned; reads the files."""
+        lines = input_warnings(self.malformed, self.contigs)
+        for line in lines:
+            log.warning(line)
+        return lines
 
     def _union(self, frames: list[DataFrame], ddl: str) -> DataFrame:
         out = self.spark.createDataFrame([], ddl)
@@ -203,7 +245,11 @@ class ConsensusEngine:
         if r["error"]:
             if self.strict:
                 raise RuntimeError(f"{r['gene_id']}: {r['error']}")
-            log.warning("%s: %s", r["gene_id"], r["error"])
+            self._warned += 1
+            if self._warned <= WARNINGS:
+                log.warning("%s: %s", r["gene_id"], r["error"])
+            elif self._warned == WARNINGS + 1:
+                log.warning("further failures are not logged")
         return ConsensusResult(r["gene_id"], r["sample"], r["haplotype"], r["seq"].encode() if r["seq"] is not None else None, r["chain"], r["error"])
 
     def consensus_many(self, tasks, threads: int = 1) -> list[ConsensusResult]:
@@ -249,17 +295,38 @@ class ConsensusEngine:
         named = alias_contigs(region, self.contigs).where("vcf_contig IS NOT NULL").withColumnRenamed("vcf_contig", "contig").drop("chr")
         return range_join(named, self.variants, ["vcf_key", "contig"], mode=self.overlap if mode is None else mode).orderBy("pos", "rec_no")
 
+    def query_set(self, regions: DataFrame, mode: int | None = None) -> DataFrame:
+        """Records of many 1-based closed regions (vcf_key, chr, start, end), each with its region."""
+        cut = regions.select("vcf_key", "chr", "start", "end", (F.col("start") - 1).alias("beg"), (F.col("end") - 1).alias("fin"))
+        named = alias_contigs(cut, self.contigs).where("vcf_contig IS NOT NULL").withColumnRenamed("vcf_contig", "contig")
+        return range_join(named, self.variants, ["vcf_key", "contig"], mode=self.overlap if mode is None else mode).drop("beg", "fin")
+
+    def plan_query_set(self, regions: DataFrame, mode: int | None = None) -> DataFrame:
+        """n and lane of each region that has records."""
+        return plan_regions(with_ops(self.query_set(regions, mode)), ["vcf_key", "chr", "start", "end"])
+
+    def has_gt(self, vcf_key: str) -> bool:
+        return bool(self.variants.where((F.col("vcf_key") == vcf_key) & F.col("gt").isNotNull()).head(1))
+
+    def n_sample(self, vcf_key: str) -> int:
+        return self.samples.where(F.col("vcf_key") == vcf_key).count()
+
+    def contig_of(self, vcf_key: str, chrom: str) -> str | None:
+        """The VCF's own name of a chromosome."""
+        return alias_contigs(self.spark.createDataFrame([(vcf_key, chrom)], "vcf_key string, chr string"), self.contigs).first()["vcf_contig"]
+
     def n_records(self, vcf_key: str) -> int:
         return self.variants.where(F.col("vcf_key") == vcf_key).count()
 
     def sample_names(self, vcf_key: str) -> list[str]:
         return [r["sample"] for r in self.samples.where(F.col("vcf_key") == vcf_key).orderBy("sample_idx").collect()]
 
-    def run_report(self, tasks) -> str:
+    def run_report(self, tasks, mode: str = "many", threads: int = 1) -> str:
+        """JSON of one run; mode is many or iter."""
         began = time.time()
-        n, total, low, high = self.consensus_many_stats(tasks)
+        n, total, low, high = (self.consensus_many_stats if mode == "many" else self.consensus_iter_stats)(tasks)
         wall = time.time() - began
-        return json.dumps({"n": n, "total_len": total, "min_len": low, "max_len": high, "wall_sec": wall, "seq_per_sec": n / wall, "bases_per_sec": total / wall})
+        return json.dumps({"mode": mode, "threads": threads, "load_sec": self.load_sec, "n": n, "total_len": total, "min_len": low, "max_len": high, "wall_sec": wall, "seq_per_sec": n / wall, "bases_per_sec": total / wall})
 
 
 class ConsensusIter:

@@ -41,6 +41,17 @@ def with_ops(variants: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind).withColumn("flags", flags)
 
 
+def case_flags(allele: Column) -> Column:
+    """struct(has_lower, has_upper): whether an allele has ASCII letters of that case."""
+    return F.struct(allele.rlike("[a-z]").alias("has_lower"), allele.rlike("[A-Z]").alias("has_upper"))
+
+
+def any_fallback(gt: Column, active: Column | None = None) -> Column:
+    """Whether a sample's genotype is of class fallback (``gt_layout``); active: the places of the samples that count, null for all."""
+    calls = gt if active is None else F.transform(active, lambda i: F.get(gt, i))
+    return F.coalesce(F.exists(calls, lambda g: F.coalesce(gt_layout(g) == "fallback", F.lit(False))), F.lit(False))
+
+
 def gt_layout(gt: Column) -> Column:
     """Class of a biallelic sample genotype text: missing, fallback, or its two haplotypes as ref, alt or missing."""
     a = F.split(gt, r"[/|]")

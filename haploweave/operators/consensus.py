@@ -92,8 +92,9 @@ def _applier(opt: Options):
         found = row["records"] or ()
         region = Region(row["slice"], row["chr"], row["beg"], [Record(r["pos"], r["rlen"], r["alleles"], r["var_is_ref"]) for r in found], opt, [(m["pos"], m["ref_end"]) for m in row["mask"] or ()])
         for n, j in enumerate(row["jobs"]):
-            o, _ = region.run(*mode_of(j["sample"], j["haplotype"], opt.iupac_codes), [r["calls"][n] for r in found])
-            yield job(j) | {"seq": o.seq, "chain": o.chain, "error": o.error, "failure_kind": o.kind, "napplied": o.napplied}
+            o, general = region.run(*mode_of(j["sample"], j["haplotype"], opt.iupac_codes), [r["calls"][n] for r in found])
+            lane = "FallbackStateMachine" if general else row["lane"]
+            yield job(j) | {"lane": lane, "seq": o.seq, "chain": o.chain, "error": o.error, "failure_kind": o.kind, "napplied": o.napplied}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0

@@ -195,6 +195,28 @@ def _genes(spark, d):
 
 
 _GENES = "SELECT 'g' || p_partkey AS gene_id, 'chr' || (p_partkey % 9) AS chr, (p_partkey * 977)::BIGINT AS tss, p_partkey % 9 AS n FROM part"
+_WORDS = "SELECT p_partkey::BIGINT AS id, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN lower(p_name) WHEN 2 THEN '' ELSE upper(substr(p_name, 1, 3)) || lower(substr(p_name, 4)) END AS allele FROM part"
+
+
+@_register("case_flags", f"SELECT id, regexp_matches(allele, '[a-z]') AS has_lower, regexp_matches(allele, '[A-Z]') AS has_upper FROM ({_WORDS})")
+def case_flags(spark, d):
+    allele = "case p_partkey % 4 when 0 then upper(p_name) when 1 then lower(p_name) when 2 then '' else concat(upper(substr(p_name, 1, 3)), lower(substr(p_name, 4))) end"
+    words = Tables(spark, d).read("part").selectExpr("cast(p_partkey as bigint) as id", f"{allele} as allele")
+    return words.select("id", classify.case_flags(F.col("allele")).alias("f")).select("id", "f.*")
+
+
+_CALLS = "['0|1', '1|1', '.|0', './.', '0/1', '2|0', '1', '.']"
+
+
+@_register("fallback_genotypes", f"""WITH g AS (SELECT c_custkey::BIGINT AS id, list_transform(range(4), s -> ({_CALLS})[((c_custkey * 5 + s * 3 + (c_custkey // 8) * s) % 8 + 1)::INT]) AS gt FROM customer)
+SELECT id, len(list_filter(gt, g -> g IN ('0/1', '2|0', '1'))) > 0 AS any_sample, gt[1] IN ('0/1', '2|0', '1') OR gt[3] IN ('0/1', '2|0', '1') AS active FROM g""")
+def fallback_genotypes(spark, d):
+    calls = "array('0|1', '1|1', '.|0', './.', '0/1', '2|0', '1', '.')"
+    gt = f"transform(sequence(0, 3), s -> {calls}[cast((c_custkey * 5 + s * 3 + (c_custkey div 8) * s) % 8 as int)])"
+    rows = Tables(spark, d).read("customer").selectExpr("cast(c_custkey as bigint) as id", f"{gt} as gt")
+    return rows.select("id", classify.any_fallback(F.col("gt")).alias("any_sample"), classify.any_fallback(F.col("gt"), F.array(F.lit(0), F.lit(2))).alias("active"))
+
+
 _register("vcf_available", f"SELECT gene_id, chr, tss FROM ({_GENES}) WHERE n < 6")(lambda s, d: task_ops.available(*_genes(s, d))[0].select("gene_id", "chr", "tss"))
 _register("vcf_missing", f"SELECT gene_id, chr, tss FROM ({_GENES}) WHERE n >= 6")(lambda s, d: task_ops.available(*_genes(s, d))[1].select("gene_id", "chr", "tss"))
 _register("tss_windows", f"SELECT gene_id, chr, greatest(1, tss - 196608) AS start, tss + 196607 AS \"end\" FROM ({_GENES})")(lambda s, d: fasta.tss_windows(_genes(s, d)[0]))

@@ -17,18 +17,15 @@ def read_fasta(spark: SparkSession, path: str, tile: int = TILE) -> DataFrame:
     head = F.substring_index("value", "\n", 1)
     name = F.regexp_extract(head, r"^\s*(\S+)", 1)
     body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s+", "")
-    rows = raw.select(name.alias("contig"), body.alias("body")).where("contig <> ''")
-    rows = rows.withColumn("contig_len", F.length("body").cast("long"))
-    last = F.greatest(F.expr(f"(contig_len - 1) div {tile}"), F.lit(0)).cast("int")
-    tiles = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("tile"))
-    return tiles.select("contig", "contig_len", "tile", (F.col("tile").cast("long") * tile).alias("tile_start"), F.expr(f"substring(body, tile * {tile} + 1, {tile})").alias("bases"))
+    return tiles_from(raw.select(name.alias("contig"), body.alias("body")).where("contig <> ''"), "contig", "body", tile)
 
 
 def tiles_from(df: DataFrame, contig: str, bases: str, tile: int = TILE) -> DataFrame:
     """Tiles of a table with one row per contig."""
-    rows = df.select(F.col(contig).alias("contig"), F.col(bases).alias("body")).withColumn("contig_len", F.length("body").cast("long"))
+    # Bytes: a tile of a string would be found by counting letters from the contig's start.
+    rows = df.select(F.col(contig).alias("contig"), F.col(bases).cast("binary").alias("body")).withColumn("contig_len", F.length("body").cast("long"))
     tiles = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"(contig_len - 1) div {tile}"), F.lit(0)).cast("int"))).alias("tile"))
-    return tiles.select("contig", "contig_len", "tile", (F.col("tile").cast("long") * tile).alias("tile_start"), F.expr(f"substring(body, tile * {tile} + 1, {tile})").alias("bases"))
+    return tiles.select("contig", "contig_len", "tile", (F.col("tile").cast("long") * tile).alias("tile_start"), F.expr(f"cast(substring(body, tile * {tile} + 1, {tile}) as string)").alias("bases"))
 
 
 def metadata(reference: DataFrame) -> DataFrame:
@@ -36,6 +33,15 @@ def metadata(reference: DataFrame) -> DataFrame:
     return reference.groupBy("contig").agg(F.max("contig_len").alias("contig_len"))
 
 
+def n_seq(reference: DataFrame) -> int:
+    """The number of contigs."""
+    return metadata(reference).count()
+
+
+def has_seq(reference: DataFrame, contig: str) -> bool:
+    return bool(reference.where(F.col("contig") == contig).head(1))
+
+
 def fetch(reference: DataFrame, regions: DataFrame, tile: int = TILE) -> DataFrame:
     """Adds ``slice`` to regions (rid, contig, beg, fin; closed, beg below 0 counts as 0): the bases, cut at the contig's end; null where there are none."""
     beg = F.greatest("beg", F.lit(0))
@@ -53,4 +59,4 @@ def tss_windows(genes: DataFrame, before: int = 196_608, after: int = 196_607) -
     return genes.select("gene_id", "chr", F.greatest(F.lit(1).cast("long"), F.col("tss") - before).alias("start"), (F.col("tss") + after).alias("end"))
 
 
-__all__ = ["read_fasta", "tiles_from", "metadata", "fetch", "tss_windows"]
+__all__ = ["read_fasta", "tiles_from", "metadata", "n_seq", "has_seq", "fetch", "tss_windows"]

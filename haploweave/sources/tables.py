@@ -16,8 +16,8 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_genes(spark: SparkSession, path: str) -> DataFrame:
-    """gene_id, chr, tss, symbol, strand; a header row and blank rows are skipped; a tss that is no number is an error."""
-    rows = spark.read.csv(path, schema="gene_id string, chr string, tss string, symbol string, strand string", mode="PERMISSIVE")
+    """gene_id, chr, tss, symbol, strand; a header row and blank rows are skipped; a row of another width or a tss that is no number is an error."""
+    rows = spark.read.csv(path, schema="gene_id string, chr string, tss string, symbol string, strand string", mode="FAILFAST")
     rows = rows.where((F.col("gene_id").isNotNull()) & (F.lower("tss") != "tss"))
     return rows.withColumn("tss", F.coalesce(F.col("tss").try_cast("long"), F.raise_error(F.concat(F.lit("bad gene row: "), F.col("gene_id"))).cast("long")))
 

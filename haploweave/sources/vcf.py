@@ -1,9 +1,14 @@
-"""VCF text (plain or gzip by name) as typed rows."""
+"""VCF text (plain, or compressed by name) as typed rows."""
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +23,25 @@ class Vcf:
     malformed: DataFrame
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of gzip files of any number of members, read as a stream."""
+    for path in (p for b in batches for p in b.column(0).to_pylist()):
+        store, at = fs.FileSystem.from_uri(path if re.match(r"\w+:/", path) else f"file://{path}")
+        with store.open_input_file(at) as f, gzip.open(f, "rt", encoding="utf-8", errors="replace", newline="\n") as text:
+            lines, size, done = [], 0, 0
+            for line in text:
+                lines.append(line.rstrip("\r\n"))
+                size += len(line)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(range(done, done + len(lines)), pa.int64())], ["value", "rec_no"])
+                    lines, size, done = [], 0, done + len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array(range(done, done + len(lines)), pa.int64())], ["value", "rec_no"])
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, rec_no in the order of the file. ``.bgz`` is no name that Spark decompresses."""
+    if path.endswith(".bgz"):
+        return spark.createDataFrame([(path,)], "path string").mapInArrow(_members, "value string, rec_no long").where(F.length("value") > 0)
     return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("rec_no")).where(F.length("value") > 0)
 
 
