@@ -35,12 +35,12 @@ def region_records(regions: DataFrame, variants: DataFrame, contigs: DataFrame,
 
 
 def _groups(tasks: DataFrame, asked: DataFrame, most: int) -> DataFrame:
-    """(rid, jobs): at most ``most`` different tasks of a region, each with its place among the asked samples and the input rows it answers.
+    """(rid, chunk, jobs): at most ``most`` different tasks of a region, each with its place among the asked samples and the input rows it answers.
 
     Groups follow idx, so a region with any number of tasks is spread without ranking them."""
     work = tasks.groupBy(*REGION, "sample", "haplotype", F.expr(f"idx div {_SHARED}").alias("_block")).agg(F.collect_list(F.struct("idx", "gene_id")).alias("members"), F.min("idx").alias("_first"))
     work = work.join(asked.select("vcf_key", "sample", "at"), ["vcf_key", "sample"], "left")
-    return work.groupBy(_rid().alias("rid"), F.expr(f"_first div {most}").alias("_chunk")).agg(F.collect_list(F.struct("sample", "haplotype", "at", "members")).alias("jobs")).drop("_chunk")
+    return work.groupBy(_rid().alias("rid"), F.expr(f"_first div {most}").alias("chunk")).agg(F.collect_list(F.struct("sample", "haplotype", "at", "members")).alias("jobs"))
 
 
 def _rid() -> Column:
@@ -77,7 +77,9 @@ def run(tasks: DataFrame, reference: DataFrame, variants: DataFrame, contigs: Da
 
     own = lambda r: F.transform("jobs", lambda j: F.get(r["gt"], F.coalesce(j["at"], F.lit(-1))))
     records = F.transform("records", lambda r: F.struct(r["pos"].alias("pos"), r["rlen"].alias("rlen"), r["alleles"].alias("alleles"), r["var_is_ref"].alias("var_is_ref"), own(r).alias("calls")))
-    jobs = _groups(tasks, asked, group or GROUP).join(base.drop(*REGION, "known", "fin"), "rid").select("jobs", F.col("rid.chr").alias("chr"), "beg", "slice", records.alias("records"), "mask", "lane", "error0")
+    # Dealt anew: the join leaves all groups of a region in one task, and a third of all tasks may be of one region.
+    dealt = _groups(tasks, asked, group or GROUP).join(base.drop(*REGION, "known", "fin"), "rid").repartition("rid", "chunk")
+    jobs = dealt.select("jobs", F.col("rid.chr").alias("chr"), "beg", "slice", records.alias("records"), "mask", "lane", "error0")
     done = jobs.mapInArrow(_applier(options), _DDL)
     return done.withColumn("m", F.explode("members")).select("m.idx", "m.gene_id", "sample", "haplotype", "seq", "chain", "error", "failure_kind", "lane", "napplied")
 
