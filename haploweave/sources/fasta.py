@@ -11,11 +11,11 @@ from ..schemas import TILE
 def read_fasta(spark: SparkSession, path: str, tile: int = TILE) -> DataFrame:
     """Tiles (contig, contig_len, tile, tile_start, bases) in the file's own letter case.
 
-    Records are split at ``>``, so a reader's row is one contig; its lines are joined and cut into tiles.
+    Records are split at ``>`` at the start of a line, so a reader's row is one contig; its lines are joined and cut into tiles.
     """
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.length(F.trim("value")) > 0)
     head = F.substring_index("value", "\n", 1)
-    name = F.regexp_extract(head, r"^\s*(\S+)", 1)
+    name = F.regexp_extract(head, r"^[\s>]*(\S+)", 1)
     body = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s+", "")
     return tiles_from(raw.select(name.alias("contig"), body.alias("body")).where("contig <> ''"), "contig", "body", tile)
 

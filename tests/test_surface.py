@@ -18,7 +18,7 @@ ROWS = "chr1\t2\t.\tC\tG\t.\t.\t.\tGT\t0|1\t1|0\nchr1\t3\t.\tG\tT\t.\t.\t.\tGT\t
 
 @pytest.fixture
 def files(tmp_path):
-    (tmp_path / "r.fa").write_text(">chr1\nACGT\nACGT\n>chr2 more\nTTTT\n")
+    (tmp_path / "r.fa").write_text(">chr1\nACGT\nACGT\n>chr2 a>b\r\nTTTT\r\n>chr4\n\n")
     (tmp_path / "v.chr1.vcf").write_text(HEAD + ROWS)
     half = len(ROWS) // 2
     (tmp_path / "v.vcf.bgz").write_bytes(gzip.compress(HEAD.encode()) + gzip.compress(ROWS[:half].encode()) + gzip.compress(ROWS[half:].encode()))
@@ -81,7 +81,8 @@ def test_fasta_files(spark, files):
 
 def test_reference(spark, files):
     ref = fasta.read_fasta(spark, str(files / "r.fa"), tile=3)
-    assert fasta.n_seq(ref) == 2 and fasta.has_seq(ref, "chr2") and not fasta.has_seq(ref, "chr3")
+    assert {r["contig"]: r["contig_len"] for r in fasta.metadata(ref).collect()} == {"chr1": 8, "chr2": 4, "chr4": 0}
+    assert fasta.n_seq(ref) == 3 and fasta.has_seq(ref, "chr2") and not fasta.has_seq(ref, "chr3")
     assert [r["bases"] for r in ref.where("contig = 'chr1'").orderBy("tile").collect()] == ["ACG", "TAC", "GT"]
 
 
